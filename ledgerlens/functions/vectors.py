@@ -1,15 +1,27 @@
-"""Fixed-length vector expressions, unrolled so that they stay inside generated code."""
+"""Fixed-length vector expressions over named columns.
+
+They are unrolled by position, so that they stay inside generated code, and built as SQL
+text, so that building one is a single call.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.functions.cleaning import to_number
 
+EPS = 1e-12
+
+
+def _each(width: int, pattern: str, join: str = ", ") -> str:
+    return join.join(pattern.format(i=i) for i in range(width))
+
+
+def _at(name: str) -> str:
+    return f"cast({name}[{{i}}] as double)"
+
 
 def vector_of(df: DataFrame, columns: Sequence[str]) -> Column:
     """Array of numbers; text that is no number, null and a missing column are 0."""
@@ -18,38 +30,39 @@ def vector_of(df: DataFrame, columns: Sequence[str]) -> Column:
     )
 
 
-def dot(a: Column, b: Column, width: int) -> Column:
-    return reduce(add, [a[i].cast("double") * b[i].cast("double") for i in range(width)])
+def dot(a: str, b: str, width: int) -> Column:
+    return F.expr(_each(width, f"{_at(a)} * {_at(b)}", " + "))
 
 
-def norm(a: Column, width: int) -> Column:
-    return F.sqrt(dot(a, a, width))
+def length(a: str, width: int) -> Column:
+    """Euclidean length, never below ``EPS``."""
+    return F.greatest(F.sqrt(dot(a, a, width)), F.lit(EPS))
 
 
-def unit(a: Column, width: int, *, eps: float = 1e-12) -> Column:
-    """Vector of length one; a zero vector stays zero."""
-    length = F.greatest(norm(a, width), F.lit(eps))
-    return F.array(*[a[i].cast("double") / length for i in range(width)])
+def divided(a: str, by: str, width: int) -> Column:
+    return F.expr(f"array({_each(width, f'{_at(a)} / {by}')})")
 
 
-def mean_vector(a: Column, width: int) -> Column:
-    """Aggregate: the mean of each position."""
-    return F.array(*[F.avg(a[i].cast("double")) for i in range(width)])
+def mean_vector(a: str, width: int, *, by: str = "1") -> Column:
+    """Aggregate: the mean of each position, after dividing by ``by``."""
+    return F.expr(f"array({_each(width, f'avg({_at(a)} / {by})')})")
 
 
-def std_vector(a: Column, width: int) -> Column:
+def std_vector(a: str, width: int) -> Column:
     """Aggregate: population standard deviation of each position."""
-    return F.array(*[F.stddev_pop(a[i].cast("double")) for i in range(width)])
+    return F.expr(f"array({_each(width, f'stddev_pop({_at(a)})')})")
 
 
-def scaled(a: Column, mean: Column, std: Column, width: int) -> Column:
+def scaled(a: str, mean: str, std: str, width: int) -> Column:
     """(x - mean) / std by position; a position without spread is divided by one."""
-    return F.array(
-        *[
-            (a[i].cast("double") - mean[i]) / F.when(std[i] > 0, std[i]).otherwise(F.lit(1.0))
-            for i in range(width)
-        ]
-    )
+    spread = f"if({std}[{{i}}] > 0, {std}[{{i}}], 1.0D)"
+    return F.expr(f"array({_each(width, f'({_at(a)} - {mean}[{{i}}]) / {spread}')})")
+
+
+def with_unit(df: DataFrame, column: str, width: int, *, name: str) -> DataFrame:
+    """Add the vector of length one; a zero vector stays zero."""
+    sized = df.withColumn("_len", length(column, width))
+    return sized.withColumn(name, divided(column, "_len", width)).drop("_len")
 
 
 def to_unit_interval(similarity: Column) -> Column:

@@ -20,34 +20,46 @@ from ledgerlens.operators.similarity import fit_scaler, standardize
 from ledgerlens.operators.selection import hash_order
 from ledgerlens.sources.storage import cut_lineage
 
-# Labelled vectors up to this count are shipped to every task (200,000 x 16 doubles = 25 MB).
-LOCAL_LABELLED_ROWS = 200_000
-CELL_ROWS = 50_000
+# Labelled vectors up to this count are shipped to every task (50,000 x 16 doubles = 6 MB).
+LOCAL_LABELLED_ROWS = 50_000
+CELL_ROWS = 20_000
 QUERY_BLOCK_ROWS = 50_000
 MAX_PIVOTS = 2_000
 _STEP_ELEMENTS = 4_000_000
 
 
-def _squared(q: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Squared distances by differences, position by position: no cancellation."""
-    out = np.zeros((len(q), len(points)))
-    for d in range(q.shape[1]):
-        out += np.square(q[:, d, None] - points[None, :, d])
-    return out
-
-
 def _nearest(q: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position, squared distance) of the nearest point; the first one wins a tie."""
+    """(position, squared distance) of the nearest point; the first one wins a tie.
+
+    A matrix product finds the candidates within its rounding error, and only those are
+    measured position by position.
+    """
     where = np.empty(len(q), dtype=np.int64)
     dist = np.empty(len(q))
-    step = max(1, _STEP_ELEMENTS // max(1, len(points)))
+    sizes = np.square(points).sum(axis=1)
+    slack = 1e-10 * (sizes.max() + np.square(q).sum(axis=1) + 1)
+    step = max(1, _STEP_ELEMENTS // len(points))
     for i in range(0, len(q), step):
-        block = _squared(q[i : i + step], points)
-        where[i : i + step] = block.argmin(axis=1)
-        dist[i : i + step] = block.min(axis=1)
+        part = q[i : i + step]
+        rough = sizes[None, :] - 2 * (part @ points.T)
+        bound = rough.min(axis=1) + slack[i : i + step]
+        row, col = np.nonzero(rough <= bound[:, None])
+        exact = np.square(part[row] - points[col]).sum(axis=1)
+        order = np.lexsort((col, exact, row))
+        first = order[np.unique(row[order], return_index=True)[1]]
+        where[i : i + step] = col[first]
+        dist[i : i + step] = exact[first]
     return where, dist
 
 
+def _gaps(q: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    """Distances to all anchors, position by position so that nothing cancels."""
+    out = np.zeros((len(q), len(anchors)))
+    for d in range(q.shape[1]):
+        out += np.square(q[:, d, None] - anchors[None, :, d])
+    return np.sqrt(out)
+
+
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
     return np.array(column.tolist(), dtype=float).reshape(len(column), width)
 
@@ -92,7 +104,7 @@ def _search_cells(
 ) -> DataFrame:
     """Labelled side beyond the bound: cells, then only the cells that can still win."""
     spark = queries.sparkSession
-    pivots = min(MAX_PIVOTS, max(2, -(-rows // cell_rows)))
+    pivots = min(MAX_PIVOTS, max(2, int(rows**0.5)))
     chosen = points.orderBy(hash_order(F.col("nid"))).limit(pivots).select("v").toPandas()
     anchors = spark.sparkContext.broadcast(_matrix(chosen["v"], width))
 
@@ -130,7 +142,7 @@ def _search_cells(
             full = np.flatnonzero(counts > 0)
             for batch in batches:
                 q = _matrix(batch["v"], width)
-                gap = np.sqrt(_squared(q, anchors.value))
+                gap = _gaps(q, anchors.value)
                 nearest = full[gap[:, full].argmin(axis=1)]
                 if first:
                     mask = np.zeros(gap.shape, dtype=bool)

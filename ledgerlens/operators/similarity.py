@@ -17,15 +17,16 @@ def fit_scaler(frames: Sequence[DataFrame], column: str, width: int) -> DataFram
     rows = frames[0].select(column)
     for other in frames[1:]:
         rows = rows.unionByName(other.select(column))
-    v = F.col(column)
-    return rows.agg(V.mean_vector(v, width).alias("mean"), V.std_vector(v, width).alias("std"))
+    return rows.agg(
+        V.mean_vector(column, width).alias("mean"), V.std_vector(column, width).alias("std")
+    )
 
 
 def standardize(df: DataFrame, column: str, scaler: DataFrame, width: int) -> DataFrame:
     """Scale ``column`` in place; the one-row scaler enters as a scalar subquery."""
     fitted = scaler.select(F.struct("mean", "std")).scalar()
     return df.withColumn("_fit", fitted).withColumn(
-        column, V.scaled(F.col(column), F.col("_fit.mean"), F.col("_fit.std"), width)
+        column, V.scaled(column, "_fit.mean", "_fit.std", width)
     ).drop("_fit")
 
 
@@ -37,14 +38,11 @@ def cohort_similarity(
     The mean over the cohort of cos(x, c) is the dot product of unit x with the mean unit
     vector of the cohort, so the cohort shrinks to one row and no pairs are formed.
     """
-    units = cohort.select(V.unit(F.col(column), width).alias("u"))
-    centroid = units.agg(V.mean_vector(F.col("u"), width).alias("c")).scalar()
-    return (
-        df.withColumn("_c", centroid)
-        .withColumn("_u", V.unit(F.col(column), width))
-        .withColumn(name, V.dot(F.col("_u"), F.col("_c"), width))
-        .drop("_c", "_u")
-    )
+    sized = cohort.withColumn("_len", V.length(column, width))
+    centroid = sized.agg(V.mean_vector(column, width, by="_len").alias("c")).scalar()
+    return df.withColumn("_c", centroid).withColumn(
+        name, V.dot(column, "_c", width) / V.length(column, width)
+    ).drop("_c")
 
 
 def rank_by_score(df: DataFrame, score: str, id_column: str) -> DataFrame:

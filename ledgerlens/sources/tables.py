@@ -56,22 +56,27 @@ def scan_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def discover_tables(
-    spark: SparkSession, root: str, *, pattern: str = "*.asc", sep: str = ";"
+    spark: SparkSession,
+    root: str,
+    *,
+    pattern: str = "*.asc",
+    sep: str = ";",
+    by_folder: bool = False,
 ) -> dict[str, DataFrame]:
     """Every file under ``root`` matching ``pattern``, named by its stem.
 
-    Only the file listing reaches the driver. Known tables get their fixed schema, any
-    other file is read as text.
+    With ``by_folder`` a table is a folder of part files and has the folder's name. Only
+    the distinct table paths reach the driver. Known tables get their fixed schema, any
+    other is read as text.
     """
-    listing = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .load(root)
-        .select("path")
-        .toLocalIterator()
-    )
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
+    path = F.col("path")
+    if by_folder:
+        listing = listing.option("recursiveFileLookup", True)
+        path = F.regexp_replace(path, "/[^/]*$", "")
+    paths = listing.load(root).select(path.alias("path")).distinct().toLocalIterator()
     found = {}
-    for path in sorted(row.path for row in listing):
+    for path in sorted(row.path for row in paths):
         stem = re.sub(r"\.[^.]*$", "", path.rsplit("/", 1)[-1])
         if stem in TABLES:
             found[stem] = scan_typed(spark, path, TABLES[stem], sep=sep)
