@@ -103,7 +103,7 @@ put("convert_tables", """SELECT 'loan' AS table_name, count(*) AS row_count, 7 A
   NULL AS error FROM r_loan UNION ALL SELECT 'missing', NULL, NULL, 'PATH_NOT_FOUND'""")
 put("json_decode", "SELECT seq, (props->>'k')::BIGINT AS k FROM r_stream")
 put("json_quarantine", """SELECT seq, CASE WHEN type <> 'VYBER' THEN (props->>'k')::BIGINT END AS k,
-  CASE WHEN type = 'VYBER' THEN substr(props, 1 + 3.1415926535e-6, 4) END AS bad_message FROM r_stream""")
+  CASE WHEN type = 'VYBER' THEN substr(props, 1, 4) END AS bad_message FROM r_stream""")
 
 SCORING = """s_rows AS (
   SELECT t.trans_id, t.account_id, t.amount, t.balance, t.type, t.operation,
@@ -298,7 +298,7 @@ COUNTS = ("total_transactions num_incoming num_outgoing unique_k_symbols unique_
 FINE = {
     "": "balance_min balance_max".split(),
     "_usd": ("total_incoming total_outgoing net_cashflow max_incoming max_outgoing min_incoming min_outgoing "
-             "median_incoming median_outgoing balance_min balance_max balance_median loan_amount_total_usd "
+             "balance_min balance_max loan_amount_total_usd "
              "loan_amount_max_usd loan_amount_min_usd total_order_amount_usd max_order_amount_usd "
              "min_order_amount_usd").split(),
 }
@@ -461,7 +461,7 @@ x_di AS (SELECT "A1" AS dkey, {DISTRICT_ZERO} FROM r_district)"""
 RT_R4 = ("avg_incoming avg_outgoing std_incoming std_outgoing balance_mean balance_std avg_transaction_amount "
          "loan_amount_avg_usd loan_duration_avg loan_payment_avg_usd loan_payment_max_usd loan_payment_min_usd "
          "avg_order_amount_usd std_order_amount_usd").split()
-RT_R8 = [c for c in FINE["_usd"] if c != "net_cashflow"]
+RT_R8 = [c for c in FINE["_usd"] if c != "net_cashflow"] + ["median_incoming", "median_outgoing", "balance_median"]
 RT_INT = ("num_accounts total_transactions num_incoming num_outgoing unique_k_symbols unique_operations unique_banks "
           "num_loans loan_duration_max loan_duration_min num_orders unique_banks_orders unique_k_symbols_orders num_cards "
           "num_classic_cards num_junior_cards num_gold_cards").split()

@@ -478,18 +478,18 @@ def client_features_usd(spark, root):
 def client_features_rt(spark, root):
     bank = roles.bank(spark, root)
     labels = loan_labels(spark, root)
-    return tidy(RT.realtime_features(bank, loan_labels=labels), fine=FINE_USD)
+    return tidy(RT.realtime_features(bank, loan_labels=labels), fine=FINE_RT)
 
 
 # Columns whose exact value has more than four decimals and no division behind it.
 FINE_BATCH = ("balance_min", "balance_max")
 FINE_USD = (
     "total_incoming", "total_outgoing", "net_cashflow", "max_incoming", "max_outgoing",
-    "min_incoming", "min_outgoing", "median_incoming", "median_outgoing", "balance_min",
-    "balance_max", "balance_median", "loan_amount_total_usd", "loan_amount_max_usd",
-    "loan_amount_min_usd", "total_order_amount_usd", "max_order_amount_usd",
-    "min_order_amount_usd",
+    "min_incoming", "min_outgoing", "balance_min", "balance_max", "loan_amount_total_usd",
+    "loan_amount_max_usd", "loan_amount_min_usd", "total_order_amount_usd",
+    "max_order_amount_usd", "min_order_amount_usd",
 )
+FINE_RT = (*FINE_USD, "median_incoming", "median_outgoing", "balance_median")
 
 
 # --- splits, order statistics ------------------------------------------------------

@@ -187,8 +187,11 @@ def _search_cells(
         left = visits.join(slots, ["cell", "part"]).withColumn(
             "slot", F.pmod(F.xxhash64("qid"), F.col("slots")).cast("int")
         )
-        right = blocks.join(slots, ["cell", "part"]).withColumn(
-            "slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))
+        copies = slots.select(
+            F.col("cell").alias("cell"), F.col("part").alias("part"), F.col("slots").alias("copies")
+        )
+        right = blocks.join(copies, ["cell", "part"]).withColumn(
+            "slot", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))
         )
         keys = ["cell", "part", "slot"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(

@@ -11,7 +11,10 @@ from ledgerlens.operators.skew import HOT_GROUP_ROWS, join_null_safe, split_hot
 
 
 def _ordinary(df, keys, aggs, medians, distincts):
-    """One shuffle by key: windows rank the values, one aggregate picks the middle ones."""
+    """One shuffle by key: windows rank the values, one aggregate picks the middle ones.
+
+    Rank and count share one window specification, so each value costs one sort.
+    """
     group = Window.partitionBy(*keys)
     ranked = df.withColumns(
         {f"_m_{n}": c for n, c in medians.items()} | {f"_d_{n}": c for n, c in distincts.items()}
@@ -19,8 +22,11 @@ def _ordinary(df, keys, aggs, medians, distincts):
     picks = list(aggs)
     for n in medians:
         value = F.col(f"_m_{n}")
-        rank = F.row_number().over(group.orderBy(value.asc_nulls_last()))
-        ranked = ranked.withColumns({f"_r_{n}": rank, f"_c_{n}": F.count(value).over(group)})
+        order = group.orderBy(value.asc_nulls_last())
+        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        ranked = ranked.withColumns(
+            {f"_r_{n}": F.row_number().over(order), f"_c_{n}": F.count(value).over(whole)}
+        )
         middle = F.abs(2 * F.col(f"_r_{n}") - F.col(f"_c_{n}") - 1) <= 1
         picks.append(F.avg(F.when(middle, value)).alias(n))
     for n in distincts:

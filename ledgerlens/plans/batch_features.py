@@ -40,13 +40,21 @@ def account_summary(
     )
 
 
-def _rollup(client_rows: DataFrame, suffix: str = "", extra=()) -> DataFrame:
-    return client_rows.groupBy("client_id").agg(
-        F.count_distinct("account_id").alias("num_accounts"),
-        *A.rollup_aggs(suffix),
-        *A.rollup_text_aggs(),
-        *extra,
+def _rollup(
+    pairs: DataFrame, summary: DataFrame, suffix: str = "", extra=()
+) -> DataFrame:
+    """Account rows per client to one row per client.
+
+    The distinct count of accounts runs apart on the two id columns: next to it, every
+    other measure would have to pass through the distinct aggregation.
+    """
+    counts = pairs.select("client_id", "account_id").distinct().groupBy("client_id").agg(
+        F.count("account_id").alias("num_accounts")
     )
+    measures = pairs.join(summary, "account_id", "left").groupBy("client_id").agg(
+        *A.rollup_aggs(suffix), *A.rollup_text_aggs(), *extra
+    )
+    return counts.join(measures, "client_id")
 
 
 def client_features(bank: Bank, *, fill: bool = False, limit: int = HOT_GROUP_ROWS) -> DataFrame:
@@ -56,7 +64,7 @@ def client_features(bank: Bank, *, fill: bool = False, limit: int = HOT_GROUP_RO
     """
     summary = account_summary(bank, only_active=True, limit=limit)
     owned = bank.disp.filter(F.col("type") == "OWNER").select("client_id", "account_id")
-    features = _rollup(owned.join(summary, "account_id", "left"))
+    features = _rollup(owned, summary)
     joined = (
         bank.client.join(features, "client_id", "inner")
         .join(A.card_summary(bank.card, bank.disp), "client_id", "left")
@@ -65,25 +73,28 @@ def client_features(bank: Bank, *, fill: bool = False, limit: int = HOT_GROUP_RO
     return fill_numeric(out) if fill else out
 
 
-def _with_ids(bank: Bank, summary: DataFrame) -> DataFrame:
-    """Every disposition with its account summary, card ids and one sample id per fact table.
+def _with_ids(bank: Bank) -> DataFrame:
+    """Every disposition with its card ids and one sample id per fact table.
 
     Card ids are collected per (client, account) first, so that several cards on one
     disposition do not multiply the account measures. Sample ids are the smallest ones.
     """
-    rows = bank.disp.select("client_id", "account_id").join(summary, "account_id", "left")
+    rows = bank.disp.select("client_id", "account_id")
     cards = A.cards_of_clients(bank.card, bank.disp)
     card_ids = cards.groupBy("client_id", "account_id").agg(
         F.collect_set(F.col("card_id").cast("string")).alias("_cards")
     )
     rows = rows.join(card_ids, ["client_id", "account_id"], "left")
     for name in ("trans", "loan", "order"):
-        table = getattr(bank, name)
-        sample = table.groupBy("account_id").agg(F.min(f"{name}_id").alias(f"{name}_id"))
-        rows = rows.join(sample, "account_id", "left")
+        rows = rows.join(_sample_id(bank, name), "account_id", "left")
     return rows
 
 
+def _sample_id(bank: Bank, name: str) -> DataFrame:
+    table = getattr(bank, name)
+    return table.groupBy("account_id").agg(F.min(f"{name}_id").alias(f"{name}_id"))
+
+
 def client_features_with_ids(
     bank: Bank,
     *,
@@ -105,13 +116,13 @@ def client_features_with_ids(
             order=to_usd(bank.order, ["amount"], rate=rate),
         )
     suffix = "_usd" if usd else ""
-    rows = _with_ids(bank, account_summary(bank, suffix=suffix, limit=limit))
+    summary = account_summary(bank, suffix=suffix, limit=limit)
     lists = [
         A.distinct_text(F.col(c)).alias(c) for c in ("account_id", "loan_id", "order_id", "trans_id")
     ]
     cards = F.array_distinct(F.flatten(F.collect_list("_cards")))
     lists.append(F.array_join(F.array_sort(cards), ",").alias("card_id"))
-    out = bank.client.join(_rollup(rows, suffix, lists), "client_id", "left")
+    out = bank.client.join(_rollup(_with_ids(bank), summary, suffix, lists), "client_id", "left")
     if card_stats:
         out = out.join(A.card_summary(bank.card, bank.disp), "client_id", "left")
     return with_district(out, bank.district)
@@ -121,9 +132,7 @@ def client_id_rows(bank: Bank) -> DataFrame:
     """Long form of the id lists, for clients with very many ids."""
     rows = bank.disp.select("client_id", "account_id")
     for name in ("trans", "loan", "order"):
-        table = getattr(bank, name)
-        sample = table.groupBy("account_id").agg(F.min(f"{name}_id").alias(f"{name}_id"))
-        rows = rows.join(sample, "account_id", "left")
+        rows = rows.join(_sample_id(bank, name), "account_id", "left")
     wide = A.id_pairs(rows, ("account_id", "loan_id", "order_id", "trans_id"))
     return wide.unionByName(A.id_pairs(A.cards_of_clients(bank.card, bank.disp), ("card_id",)))
 
