@@ -13,6 +13,7 @@ import time
 from pyspark.sql import SparkSession
 
 from checks.queries import QUERIES
+from ledgerlens.session import tuned
 
 HEADLINE = (
     "client_features_rt",
@@ -37,13 +38,10 @@ def main() -> None:
     root = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        tuned(SparkSession.builder.master(f"local[{cpus}]"))
         .appName("ledgerlens-bench")
         .config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        # The wide plans hold more generated classes than the default cache of 100.
-        .config("spark.sql.codegen.cache.maxEntries", "2000")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

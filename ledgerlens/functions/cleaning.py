@@ -20,12 +20,14 @@ def coerce_numeric(
     df: DataFrame, columns: Iterable[str], *, fill: float | None = None
 ) -> DataFrame:
     """Make ``columns`` numeric; names the frame does not have are skipped."""
-    return df.withColumns({c: to_number(F.col(c), fill) for c in columns if c in df.columns})
+    known = set(df.columns)
+    return df.withColumns({c: to_number(F.col(c), fill) for c in columns if c in known})
 
 
 def to_usd(df: DataFrame, columns: Iterable[str], *, rate: float = CZK_TO_USD) -> DataFrame:
     """Multiply money columns by an exchange rate."""
-    return df.withColumns({c: F.col(c) * F.lit(rate) for c in columns if c in df.columns})
+    known = set(df.columns)
+    return df.withColumns({c: F.col(c) * F.lit(rate) for c in columns if c in known})
 
 
 def _with_century(text: Column, pivot: int) -> Column:
@@ -79,10 +81,10 @@ def sentinel_to_zero(col: Column, *, text: bool = False, sentinel: str = "?") ->
 
 def fill_nulls(df: DataFrame, defaults: Mapping[str, str | int | float]) -> DataFrame:
     """Per-column defaults, adding a column that is missing."""
-    out = {}
+    known, out = set(df.columns), {}
     for name, value in defaults.items():
         default = F.lit(value)
-        out[name] = F.coalesce(F.col(name), default) if name in df.columns else default
+        out[name] = F.coalesce(F.col(name), default) if name in known else default
     return df.withColumns(out)
 
 
@@ -97,8 +99,9 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 def select_or_default(df: DataFrame, wanted: Mapping[str, object]) -> DataFrame:
     """Fixed column order; a column the frame lacks is the given constant."""
+    known = set(df.columns)
     return df.select(
-        *[F.col(c) if c in df.columns else F.lit(d).alias(c) for c, d in wanted.items()]
+        *[F.col(c) if c in known else F.lit(d).alias(c) for c, d in wanted.items()]
     )
 
 

@@ -25,9 +25,8 @@ def _at(name: str) -> str:
 
 def vector_of(df: DataFrame, columns: Sequence[str]) -> Column:
     """Array of numbers; text that is no number, null and a missing column are 0."""
-    return F.array(
-        *[to_number(F.col(c), 0) if c in df.columns else F.lit(0.0) for c in columns]
-    )
+    known = set(df.columns)
+    return F.array(*[to_number(F.col(c), 0) if c in known else F.lit(0.0) for c in columns])
 
 
 def dot(a: str, b: str, width: int) -> Column:

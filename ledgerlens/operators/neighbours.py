@@ -20,8 +20,8 @@ from ledgerlens.operators.similarity import fit_scaler, standardize
 from ledgerlens.operators.selection import hash_order
 from ledgerlens.sources.storage import cut_lineage
 
-# Labelled vectors up to this count are shipped to every task (50,000 x 16 doubles = 6 MB).
-LOCAL_LABELLED_ROWS = 50_000
+# Labelled vectors up to this count are shipped to every task (200,000 x 16 doubles = 26 MB).
+LOCAL_LABELLED_ROWS = 200_000
 CELL_ROWS = 20_000
 QUERY_BLOCK_ROWS = 50_000
 MAX_PIVOTS = 2_000
@@ -71,6 +71,12 @@ def _distinct_points(labelled: DataFrame) -> DataFrame:
     ).select("v", "p.nid", "p.label")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core: the work per row is far larger than the row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, "qid") if df.rdd.getNumPartitions() < cores else df
+
+
 def _search_local(queries: DataFrame, points: DataFrame, width: int) -> DataFrame:
     """Labelled side within the bound: ship it to the tasks, one pass over the queries."""
     table = points.orderBy("nid").toPandas()
@@ -90,7 +96,9 @@ def _search_local(queries: DataFrame, points: DataFrame, width: int) -> DataFram
                 }
             )
 
-    return queries.mapInPandas(search, "qid long, nid long, label string, distance double")
+    return _spread(queries).mapInPandas(
+        search, "qid long, nid long, label string, distance double"
+    )
 
 
 def _search_cells(
@@ -204,9 +212,9 @@ def _search_cells(
         ).select("qid", "b.*")
 
     visit_schema = "qid long, v array<double>, cell int, part int"
-    home = cut_lineage(best_of(look_up(queries.mapInPandas(route(True), visit_schema))))
+    home = cut_lineage(best_of(look_up(_spread(queries).mapInPandas(route(True), visit_schema))))
     known = queries.join(home.select("qid", F.sqrt("d2").alias("best")), "qid")
-    others = look_up(known.mapInPandas(route(False), visit_schema))
+    others = look_up(_spread(known).mapInPandas(route(False), visit_schema))
     return best_of(home.unionByName(others)).select(
         "qid", "nid", "label", F.sqrt("d2").alias("distance")
     )
@@ -238,6 +246,8 @@ def nearest_label(
         F.col(label).alias("label"),
         vector_of(labelled, [b for _, b in pairs]).alias("v"),
     )
+    # The query side may be a long plan; written once, it serves the scaler and the search.
+    q = cut_lineage(q)
     q = standardize(q, "v", fit_scaler([q], "v", width), width)
     points = _distinct_points(standardize(p, "v", fit_scaler([p], "v", width), width))
     points = cut_lineage(points)
