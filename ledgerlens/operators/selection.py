@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlens.operators.skew import (
-    BROADCAST_KEY_ROWS,
     HOT_GROUP_ROWS,
     bounded_broadcast,
     join_null_safe,
@@ -123,6 +122,8 @@ def quantiles_of_hot(
 ) -> DataFrame:
     """Interpolated quantile per group by narrowing; keys and ``name``."""
     rows = df.select(*keys, value.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    # Read many times over; only the keys and one number are written.
+    rows = cut_lineage(rows)
     place = F.lit(prob) * (F.col("_m") - 1)
     ranks = rows.groupBy(*keys).agg(F.count("_v").alias("_m")).select(
         *keys,
@@ -153,19 +154,21 @@ def _narrowed_prefix(
     df: DataFrame, keys: Sequence[str], tie: Sequence[str], wanted: Column, limit: int
 ) -> DataFrame:
     """Mark the prefix of hot groups from a cut value and a cut tie hash."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
-    target = cut_lineage(sizes.select(*keys, wanted.cast("long").alias("_want")))
+    slim = cut_lineage(df.select(*keys, "_v", "_h"))
+    sizes = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
+    whole = F.least(wanted.cast("long"), F.col("_m"))
+    target = cut_lineage(sizes.select(*keys, whole.alias("_want")))
     ranks = target.filter(F.col("_want") > 0).select(
         *keys, F.col("_want").alias("_lo"), F.col("_want").alias("_hi")
     )
-    cut = values_at_ranks(df.select(*keys, "_v"), keys, ranks, limit=limit)
+    cut = values_at_ranks(slim.select(*keys, "_v"), keys, ranks, limit=limit)
     cut = join_null_safe(target, cut, keys, "left").select(
         *keys, F.col("_v_lo").alias("_cut"), "_ties",
         (F.col("_want") - F.col("_below")).alias("_rest"),
     )
     cut = cut_lineage(cut)
     split = F.col("_rest") < F.col("_ties")
-    tied = join_null_safe(df, bounded_broadcast(cut.filter(split)), keys, "inner")
+    tied = join_null_safe(slim, bounded_broadcast(cut.filter(split)), keys, "inner")
     tied = tied.filter(F.col("_v") == F.col("_cut")).select(*keys, F.col("_h").alias("_v"))
     tie_ranks = cut.filter(split).select(
         *keys, F.col("_rest").alias("_lo"), F.col("_rest").alias("_hi")

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder from ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """Shared folder from ``spark.checkpoint.dir``; in local mode a folder of our own if unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     own = tempfile.mkdtemp(prefix="ledgerlens-")
     spark.sparkContext.setCheckpointDir(own)
     return own
