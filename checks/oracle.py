@@ -127,7 +127,7 @@ put("purpose_default", """SELECT d.client_id, l.account_id, d.disp_id, 'unknown'
 # --- cleaning ----------------------------------------------------------------------
 
 put("coerce_numeric", """SELECT "A1", "A2", "A3", "A11", try_cast("A12" AS DOUBLE) AS "A12",
-  try_cast("A15" AS DOUBLE) AS "A15", 0.0 AS "A2_number" FROM r_district""")
+  try_cast("A15" AS DOUBLE) AS "A15", 0::DOUBLE AS "A2_number" FROM r_district""")
 put("to_usd", """SELECT trans_id, round(amount * 0.038::DOUBLE, 8) AS amount,
   round(balance * 0.038::DOUBLE, 8) AS balance FROM r_trans""")
 put("parse_yymmdd", """SELECT text, count(*) AS n,
@@ -145,9 +145,9 @@ put("coalesce_district", """SELECT d.disp_id,
   FROM r_disp d LEFT JOIN r_client c USING (client_id) LEFT JOIN r_account a ON a.account_id = d.account_id""")
 put("project_reorder", 'SELECT "A3", "A1" AS district_id, "A2", 0 AS "A16" FROM r_district')
 DISTRICT_ZERO = """coalesce(try_cast("A1" AS DOUBLE), 0) AS "A1", coalesce("A2", '0') AS "A2",
-  coalesce("A3", '0') AS "A3", """ + ", ".join(f'0.0 AS "A{i}"' for i in range(4, 11)) + """,
+  coalesce("A3", '0') AS "A3", """ + ", ".join(f'0::DOUBLE AS "A{i}"' for i in range(4, 11)) + """,
   coalesce(try_cast("A11" AS DOUBLE), 0) AS "A11", coalesce(try_cast("A12" AS DOUBLE), 0) AS "A12",
-  0.0 AS "A13", 0.0 AS "A14", coalesce(try_cast("A15" AS DOUBLE), 0) AS "A15", 0.0 AS "A16" """
+  0::DOUBLE AS "A13", 0::DOUBLE AS "A14", coalesce(try_cast("A15" AS DOUBLE), 0) AS "A15", 0::DOUBLE AS "A16" """
 put("sentinel_to_zero", f'SELECT "A1" AS key, {DISTRICT_ZERO} FROM r_district')
 
 BIRTH = """s_birth AS (
@@ -263,7 +263,7 @@ LOAN_LABELS = f"""s_labels AS (SELECT d.client_id, l.account_id, d.disp_id, l.lo
   FROM r_loan l LEFT JOIN (SELECT * FROM r_disp WHERE type = 'OWNER') d ON d.account_id = l.account_id)"""
 put("loan_labels", "SELECT * FROM s_labels", LOAN_LABELS)
 put("loan_label_totals", "SELECT " + ", ".join(
-    f"sum({c}) AS {c}" for c in "personal_loan car_loan home_loan credit_card_loan business_loan".split()
+    f"sum({c})::BIGINT AS {c}" for c in "personal_loan car_loan home_loan credit_card_loan business_loan".split()
 ) + " FROM s_labels", LOAN_LABELS)
 put("value_counts", "SELECT k_symbol, count(*) AS n FROM r_trans GROUP BY k_symbol")
 put("null_profile", """SELECT 'k_symbol' AS column_name, count(*) AS null_count FROM r_trans
@@ -320,7 +320,7 @@ def shown(s: str, fill: bool = False) -> str:
     """Rounded output columns of the roll-up, read from ``f``."""
     out = []
     for c in " ".join((SUMS, MEANS, MAXES, MINS)).format(s=s).split():
-        v = f"f.{c}" if c in COUNTS else f"round(f.{c}, 8)" if c in FINE[s] else f"round(f.{c} + {NUDGE}, 4)"
+        v = f"f.{c}::BIGINT" if c in COUNTS else f"round(f.{c}, 8)" if c in FINE[s] else f"round(f.{c} + {NUDGE}, 4)"
         out.append(f"{'coalesce(' + v + ', 0)' if fill else v} AS {c}")
     n = "coalesce(f.num_accounts, 0)" if fill else "f.num_accounts"
     return f"{n} AS num_accounts, {', '.join(out)}, f.loan_status_all, f.frequency, {text(DATES, 'f')}"
@@ -390,7 +390,7 @@ put("client_id_rows", """SELECT DISTINCT client_id, 'account_id' AS id_kind, acc
 put("client_features_v1", """SELECT DISTINCT c.client_id, c.birth_number, c.district_id, d."A2", d."A3", d."A11",
     f.num_accounts, round(f.total_balance_mean + 3.1415926535e-6, 4) AS total_balance_mean,
     round(f.total_incoming_sum + 3.1415926535e-6, 4) AS total_incoming_sum, round(f.total_outgoing_sum + 3.1415926535e-6, 4) AS total_outgoing_sum,
-    round(f.loan_amount_total + 3.1415926535e-6, 4) AS loan_amount_total, f.loan_status_all, f.num_orders,
+    round(f.loan_amount_total + 3.1415926535e-6, 4) AS loan_amount_total, f.loan_status_all, f.num_orders::BIGINT AS num_orders,
     k.num_cards, k.earliest_card_issue::VARCHAR AS earliest_card_issue
   FROM r_client c LEFT JOIN s_v1 f ON f.client_id = c.client_id LEFT JOIN s_card k ON k.client_id = c.client_id
   LEFT JOIN r_district d ON d."A1" = c.district_id""",
@@ -658,10 +658,10 @@ put("top_targets", """SELECT vec_id, y, round(s, 6) AS similarity_score FROM (SE
 put("precision_at_k", """SELECT k, sum(y)::BIGINT AS hits, round(sum(y) / k::DOUBLE + 3.1415926535e-6, 4) AS precision
   FROM (SELECT *, row_number() OVER (ORDER BY s DESC, vec_id) AS rn, count(*) OVER () AS n FROM s_ranked),
     (SELECT unnest([10, 20, 50, 100]) AS k) WHERE rn <= k AND k <= n GROUP BY k""", SIM)
-put("cohort_eval", """SELECT count(*) AS users, sum(y) AS users_with, sum(1 - y) AS users_without,
+put("cohort_eval", """SELECT count(*) AS users, sum(y)::BIGINT AS users_with, sum(1 - y)::BIGINT AS users_without,
     round(avg(s) FILTER (WHERE y = 1) + 3.1415926535e-6, 4) AS mean_with, round(avg(s) FILTER (WHERE y = 0) + 3.1415926535e-6, 4) AS mean_without,
-    count(*) FILTER (WHERE up <= 100) AS top_n, sum(y) FILTER (WHERE up <= 100) AS top_hits,
-    count(*) FILTER (WHERE down <= 100) AS bottom_n, sum(y) FILTER (WHERE down <= 100) AS bottom_hits,
+    count(*) FILTER (WHERE up <= 100) AS top_n, (sum(y) FILTER (WHERE up <= 100))::BIGINT AS top_hits,
+    count(*) FILTER (WHERE down <= 100) AS bottom_n, (sum(y) FILTER (WHERE down <= 100))::BIGINT AS bottom_hits,
     round(avg(y) FILTER (WHERE up <= 100) * 100 + 3.1415926535e-6, 4) AS top_percent, round(avg(y) FILTER (WHERE down <= 100) * 100 + 3.1415926535e-6, 4) AS bottom_percent,
     (avg(y) FILTER (WHERE up <= 100) > 0.5)::INT AS top_passes, (avg(y) FILTER (WHERE down <= 100) < 0.5)::INT AS bottom_passes
   FROM (SELECT *, row_number() OVER (ORDER BY s DESC, vec_id) AS up, row_number() OVER (ORDER BY s, vec_id DESC) AS down FROM s_ranked)""", SIM)
@@ -691,7 +691,7 @@ k_pz AS ({z_scores('k_ext', 'k_ext', 'external_id, loan_purpose', P_COLS)}),
 k_best AS (SELECT q.client_id, any_value(q.shown_loans) AS shown_loans, any_value(q.shown_cards) AS shown_cards,
     min({{'d': {D2}, 'i': p.external_id, 'l': p.loan_purpose}}) AS b FROM k_qz q, k_pz p GROUP BY q.client_id)"""
 put("knn_label", """SELECT client_id, b.i AS external_id, b.l AS loan_purpose, round(sqrt(b.d), 6) AS distance FROM k_best""", KNN)
-put("purpose_master", "SELECT client_id, b.l AS loan_purpose, shown_loans AS num_loans, shown_cards AS num_cards FROM k_best", KNN)
+put("purpose_master", "SELECT client_id, b.l AS loan_purpose, shown_loans::BIGINT AS num_loans, shown_cards AS num_cards FROM k_best", KNN)
 
 # --- models ------------------------------------------------------------------------
 
