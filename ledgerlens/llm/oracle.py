@@ -27,3 +27,17 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id
 """
+
+ORACLE["op2_mih_topk"] = """
+WITH v AS (SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+q AS (SELECT vec_id AS query_id, embedding AS e FROM v WHERE vec_id % 100 = 0),
+p AS (
+  SELECT query_id, vec_id,
+         list_sum([CASE WHEN (e[i] >= 0) <> (embedding[i] >= 0) THEN 1 ELSE 0 END FOR i IN range(1, 65)])::INT AS hamming
+  FROM q, v
+),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hamming, vec_id)::INT AS rank FROM p
+)
+SELECT query_id, rank, vec_id, hamming FROM r WHERE rank <= 10
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import bpe, hosts, lines, sharding
+from ledgerlens.llm import bpe, hosts, lines, mih, sharding, simhash
 from ledgerlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,3 +50,17 @@ def op5_bpe(spark: SparkSession, root: str) -> DataFrame:
 @query
 def op9_lpt_shards(spark: SparkSession, root: str) -> DataFrame:
     return sharding.shard_documents(table(spark, root, "documents"), shards=8)
+
+
+@query
+def op8_simhash_bktree(spark: SparkSession, root: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, root, "documents"))
+
+
+@query
+def op2_mih_topk(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "embeddings").select(
+        F.col("vec_id").alias("id"), mih.sign_code(F.col("embedding")).alias("code")
+    )
+    found = mih.top_k(rows, rows.where("id % 100 = 0"), k=10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("distance").alias("hamming"))
