@@ -76,3 +76,20 @@ def dedup_lines(
             "kept",
         )
     )
+
+
+def without_shared_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **options
+) -> DataFrame:
+    """``docs`` with the text that ``dedup_lines`` keeps, all other columns as they were, and
+    ``length_col``, if there is one, brought up to date. A text that loses no line stays as it is,
+    null included."""
+    kept = dedup_lines(docs, id_col, text_col, **options).where("n_dropped > 0").dropDuplicates(["doc_id", "text_hash"])
+    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("kept").alias("__kept"))
+    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash"))
+    joined = docs.join(kept, same, "left")
+    text = F.coalesce(F.col("__kept"), docs[text_col])
+    new = {text_col: text}
+    if length_col in docs.columns:
+        new[length_col] = F.when(F.col("__kept").isNotNull(), F.length("__kept").cast(docs.schema[length_col].dataType)).otherwise(docs[length_col])
+    return joined.select(*(new[c].alias(c) if c in new else docs[c] for c in docs.columns))

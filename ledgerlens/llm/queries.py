@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import bpe, hosts, lines, mih, sharding, simhash
+from ledgerlens.llm import bpe, hosts, language, lines, mih, secrets, sharding, simhash, templates, toxicity
 from ledgerlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,3 +64,26 @@ def op2_mih_topk(spark: SparkSession, root: str) -> DataFrame:
     )
     found = mih.top_k(rows, rows.where("id % 100 = 0"), k=10)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("distance").alias("hamming"))
+
+
+@query
+def op6_secret_ownership(spark: SparkSession, root: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, root, "documents"))
+
+
+@query
+def op7_toxicity_viterbi(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, root, "labels")))
+
+
+@query
+def op10_language_ftrl(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
+@query
+def op1_template_decontamination(spark: SparkSession, root: str) -> DataFrame:
+    found = templates.find_contaminated(table(spark, root, "documents"), table(spark, root, "benchmark"))
+    return found.select("doc_id", "items", "coverage", "changed")

@@ -228,3 +228,11 @@ def near_duplicates(
     return rows.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their class of near-duplicates, with all their
+    columns. Rows under one id are one document. Rows without id stay if their class has no id."""
+    out = near_duplicates(docs, id_col, text_col, **options)
+    gone = out.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
