@@ -78,7 +78,7 @@ def shard_documents(
     ``grown_shard``. The law is ``bytes``.
 
     Size is the UTF-8 length of the text plus 1. Rows with equal texts form one group and stay in
-    one shard; null texts are a group apart from empty ones. Groups are dealt largest first, each
+    one shard; a null text counts as empty. Groups are dealt largest first, each
     to the least-loaded shard. ``slot`` numbers the rows of a shard from 0. Adding a shard moves
     groups at will under this law, so ``grown_shard`` is null.
 
@@ -97,7 +97,7 @@ def shard_documents(
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("h1"),
-        F.xxhash64(F.lit(7), text, F.col(text_col).isNull()).alias("h2"),
+        F.xxhash64(F.lit(7), text).alias("h2"),
     )
     bits = F.greatest(F.length(F.bin("bytes")) - EXACT_BITS, F.lit(0))
     groups = cut_lineage(

@@ -137,7 +137,7 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], radius: int, shard_rows: int) -> Iterator[pa.RecordBatch]:
     """Batches of ``mask, value, fp, n`` ordered by shard; yields links, and rows of shards too large."""
 
     def out(a: np.ndarray, b: np.ndarray, large: bool) -> pa.RecordBatch:
@@ -155,7 +155,7 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
     waiting = np.empty((0, 3), np.int64)
     for batch in batches:
         rows = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
-        over = rows[:, 3] > SHARD_ROWS
+        over = rows[:, 3] > shard_rows
         if over.any():
             yield out(rows[over, 0], rows[over, 2], True)
         waiting = np.concatenate([waiting, rows[~over, :3]])
@@ -167,12 +167,12 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
         yield grown(waiting)
 
 
-def link_fingerprints(fps: DataFrame, radius: int = 3) -> DataFrame:
+def link_fingerprints(fps: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Links ``a, b`` that join every class of distinct fingerprints (column ``fp``).
 
     Shards hold the fingerprints that agree on two of ``radius + 2`` blocks; any two within the
     radius meet in a shard. A shard is searched in its own BK-tree in the task that holds it, and
-    yields one link less than a class has members at most. Shards over ``SHARD_ROWS`` are split by
+    yields one link less than a class has members at most. Shards over ``shard_rows`` are split by
     further blocks until they fit: agreement on one of ``radius + 1`` blocks of the bits left is
     as certain. Trees are not sent to all tasks, as nothing bounds their size together.
     """
@@ -185,7 +185,7 @@ def link_fingerprints(fps: DataFrame, radius: int = 3) -> DataFrame:
         shard = Window.partitionBy("mask", "value")
         counted = rows.withColumn("n", F.count("*").over(shard)).where("n > 1")
         done = cut_lineage(
-            counted.mapInArrow(lambda batches: _search(batches, radius), "a long, b long, large boolean")
+            counted.mapInArrow(lambda batches: _search(batches, radius, shard_rows), "a long, b long, large boolean")
         )
         found.append(done.where("not large").select("a", "b"))
         large = done.where("large")
@@ -203,7 +203,12 @@ def link_fingerprints(fps: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 3,
+    radius: int = 3,
+    shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
     """One row per input row: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``.
 
@@ -217,7 +222,7 @@ def near_duplicates(
     """
     rows = cut_lineage(fingerprints(docs, id_col, text_col, words))
     fps = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(link_fingerprints(fps.select("fp"), radius))
+    roots = components(link_fingerprints(fps.select("fp"), radius, shard_rows))
     linked = cut_lineage(
         fps.join(roots, F.col("fp") == F.col("node"), "left").select(
             "fp", "least", F.coalesce("root", "fp").alias("root")
