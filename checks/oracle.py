@@ -89,8 +89,8 @@ def distinct_list(c: str) -> str:
 
 # --- scans -------------------------------------------------------------------------
 
-put("scan_text", """SELECT loan_id::VARCHAR AS loan_id, account_id::VARCHAR AS account_id,
-  strftime(date, '%y%m%d') AS date, duration::VARCHAR AS duration, status FROM r_loan""")
+put("scan_text", f"""SELECT loan_id::VARCHAR AS loan_id, account_id::VARCHAR AS account_id,
+  strftime(date, '%y%m%d') AS date, duration::VARCHAR AS duration, status, {rnd('amount payments')} FROM r_loan""")
 put("scan_typed", f"""SELECT loan_id, account_id, strftime(date, '%y%m%d') AS date,
   {rnd('amount payments')}, duration, status FROM r_loan""")
 put("scan_csv", "SELECT * FROM r_disp")
@@ -648,8 +648,8 @@ put("lookalike_targets", """SELECT client_id, round(s, 6) AS similarity_score FR
 
 SIM = """s_ranked AS (SELECT e.vec_id, e.label, (e.label = 3)::INT AS y, avg(list_cosine_similarity(e.embedding::DOUBLE[], c.embedding::DOUBLE[])) AS s
   FROM embeddings e, (SELECT embedding FROM embeddings WHERE label = 3) c GROUP BY ALL)"""
-put("l2_normalize", """SELECT vec_id, round(embedding[1]::DOUBLE / n + 3.1415926535e-6, 4) AS first, round(embedding[64]::DOUBLE / n + 3.1415926535e-6, 4) AS last
-  FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)""")
+put("l2_normalize", """SELECT vec_id, (i - 1)::INT AS position, round(embedding[i]::DOUBLE / n + 3.1415926535e-6, 4) AS component
+  FROM (SELECT *, unnest(range(1, 65)) AS i, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)""")
 put("rank_similarity", """SELECT vec_id, label, round(s, 6) AS similarity_score, round((s + 1) / 2, 3) AS unit_score
   FROM s_ranked""", SIM)
 put("top_targets", """SELECT vec_id, y, round(s, 6) AS similarity_score FROM (SELECT *, count(*) OVER () AS n,

@@ -92,7 +92,8 @@ def _loan_text(spark: SparkSession, root: str) -> str:
 @query
 def scan_text(spark, root):
     df = tables.scan_text(spark, _loan_text(spark, root))
-    return df.select("loan_id", "account_id", "date", "duration", "status")
+    amounts = [F.col(c).cast("double").alias(c) for c in ("amount", "payments")]
+    return tidy(df.select("loan_id", "account_id", "date", "duration", "status", *amounts))
 
 
 @query
@@ -639,7 +640,9 @@ def _embeddings(spark, root):
 @query
 def l2_normalize(spark, root):
     e = V.with_unit(_embeddings(spark, root), "embedding", VEC, name="u")
-    return tidy(e.select("vec_id", F.col("u")[0].alias("first"), F.col("u")[63].alias("last")))
+    # written once: exploding the unread expression would work it out for each position
+    unit = cut_lineage(e.select("vec_id", "u"))
+    return tidy(unit.select("vec_id", F.posexplode("u").alias("position", "component")))
 
 
 def _ranked(spark, root):
@@ -730,20 +733,20 @@ def regression_error(spark, root):
 
 @query
 def propensity_report(spark, root):
-    fitted = Y.fit_propensity(roles.bank(spark, root), trees=20)
+    fitted = Y.fit_propensity(roles.bank(spark, root), trees=200)
     return tidy(M.classification_report(fitted.test, "loan_taker", "predicted_taker"))
 
 
 @query
 def amount_model(spark, root):
-    fitted = Y.fit_propensity(roles.bank(spark, root), trees=20)
+    fitted = Y.fit_propensity(roles.bank(spark, root), trees=200)
     test = M.with_residual(fitted.test, "loan_amount", "predicted_amount")
     return tidy(test.select("disp_id", "loan_amount", "predicted_amount", "residual"))
 
 
 @query
 def feature_importance(spark, root):
-    fitted = Y.fit_propensity(roles.bank(spark, root), trees=20)
+    fitted = Y.fit_propensity(roles.bank(spark, root), trees=200)
     return tidy(M.feature_importance(fitted.classifier, fitted.features))
 
 
