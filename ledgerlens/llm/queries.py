@@ -54,7 +54,7 @@ def op9_lpt_shards(spark: SparkSession, root: str) -> DataFrame:
 
 @query
 def op8_simhash_bktree(spark: SparkSession, root: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, root, "documents"))
+    return simhash.near_duplicates(table(spark, root, "documents")).drop("text_hash")
 
 
 @query

@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlens.llm.common import map_texts
 from ledgerlens.llm.graph import components
@@ -41,15 +41,15 @@ def fingerprint(text: str, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """``doc_id, fp`` for each row; null text counts as empty."""
+    """``doc_id, text_hash, fp`` for each row; null text counts as empty."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = pa.array([fingerprint(t or "", words) for t in batch.column(1).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fps], ["doc_id", "text_hash", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_texts(rows, work, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return map_texts(rows, work, "doc_id long, text_hash long, fp long")
 
 
 def union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -75,17 +75,19 @@ class Forest:
 
     The first fingerprint of a shard is its root; the others descend along the edge labelled with
     their distance to each node they meet, until there is no such edge, and become a child there.
+    ``values`` holds 64-bit fingerprints, or rows of several such words for wider ones.
     """
 
     def __init__(self, values: np.ndarray, shard: np.ndarray) -> None:
         n = len(values)
         self.values = values
+        self.bits = 64 * (values.shape[1] if values.ndim > 1 else 1)
         first = np.r_[True, shard[1:] != shard[:-1]]
         self.root = np.flatnonzero(first)[np.cumsum(first) - 1]
-        edge = np.full(n, -1, np.int64)  # parent * 65 + distance
+        edge = np.full(n, -1, np.int64)  # parent * (bits + 1) + distance
         active, at = np.flatnonzero(~first), self.root[~first]
         while len(active):
-            key = at * 65 + np.bitwise_count(values[active] ^ values[at])
+            key = at * (self.bits + 1) + self.distance(active, at)
             kinds, lead, back = np.unique(key, return_index=True, return_inverse=True)
             edge[active[lead]] = kinds
             stays = np.ones(len(active), bool)
@@ -95,16 +97,25 @@ class Forest:
         self.children = np.argsort(edge, kind="stable")
         self.edges = edge[self.children]
 
+    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        d = np.bitwise_count(self.values[a] ^ self.values[b])
+        return d.sum(axis=1, dtype=np.int64) if d.ndim > 1 else d.astype(np.int64)
+
+    def parts(self, queries: np.ndarray, frontier: int = FRONTIER) -> list[np.ndarray]:
+        """Cut queries so that those of one part meet at most about ``frontier`` nodes together."""
+        sizes = np.bincount(self.root, minlength=len(self.values))[self.root[queries]]
+        return np.split(queries, np.flatnonzero(np.diff(np.cumsum(sizes) // frontier)) + 1)
+
     def pairs(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (query, node) within the radius, over edges whose label lies within it as well."""
         q, node = queries, self.root[queries]
         while len(q):
-            d = np.bitwise_count(self.values[q] ^ self.values[node]).astype(np.int64)
+            d = self.distance(q, node)
             near = (d <= radius) & (q != node)
             if near.any():
                 yield q[near], node[near]
-            lo = np.searchsorted(self.edges, node * 65 + np.maximum(d - radius, 0), "left")
-            hi = np.searchsorted(self.edges, node * 65 + np.minimum(d + radius, 64), "right")
+            lo = np.searchsorted(self.edges, node * (self.bits + 1) + np.maximum(d - radius, 0), "left")
+            hi = np.searchsorted(self.edges, node * (self.bits + 1) + np.minimum(d + radius, self.bits), "right")
             n = hi - lo
             q = np.repeat(q, n)
             node = self.children[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
@@ -112,9 +123,7 @@ class Forest:
     def classes(self, radius: int) -> np.ndarray:
         """For each fingerprint the first one of its shard it is linked to, directly or not."""
         label = np.arange(len(self.values))
-        sizes = np.bincount(self.root, minlength=len(self.values))[self.root]
-        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // FRONTIER)) + 1
-        for part in np.split(label.copy(), cuts):
+        for part in self.parts(label.copy()):
             for a, b in self.pairs(part, radius):
                 label = union(label, a, b)
         return label
@@ -210,7 +219,7 @@ def near_duplicates(
     radius: int = 3,
     shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
-    """One row per input row: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``.
+    """One row per input row: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``, ``text_hash``.
 
     Words are split at ASCII white space, A-Z lower-cased. Documents whose fingerprints differ in
     at most ``radius`` bits are linked; ``component_id`` is the smallest doc_id reachable. Equal
@@ -231,13 +240,26 @@ def near_duplicates(
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = linked.join(least, "root").select("fp", "component_id")
     return rows.join(classes, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash"
+    )
+
+
+def smallest_of_class(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``docs`` that ``classes`` (doc_id, text_hash, component_id) doesn't give to a smaller
+    id. Rows under one id go together; rows without id are told apart by their text."""
+
+    def text_key(doc_id: Column, text_hash: Column) -> Column:
+        return F.when(doc_id.isNull(), text_hash).otherwise(F.lit(0))
+
+    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias("__gone"), text_key(F.col("doc_id"), F.col("text_hash")).alias("__text")
     )
+    doc_id = docs[id_col].cast("long")
+    same = doc_id.eqNullSafe(F.col("__gone")) & (text_key(doc_id, F.xxhash64(docs[text_col])) == F.col("__text"))
+    return docs.join(gone.distinct(), same, "left_anti")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their class of near-duplicates, with all their
     columns. Rows under one id are one document. Rows without id stay if their class has no id."""
-    out = near_duplicates(docs, id_col, text_col, **options)
-    gone = out.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    return smallest_of_class(docs, near_duplicates(docs, id_col, text_col, **options), id_col, text_col)
