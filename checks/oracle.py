@@ -118,7 +118,7 @@ SCORING = """s_rows AS (
   LEFT JOIN r_client c ON c.client_id = h.client_id)"""
 
 put("scan_declared", """SELECT client_id, count(*) AS n, round(sum(amount) + 3.1415926535e-6, 4) AS amount,
-  min(nullif(birth_number, '')) AS birth_number, max(nullif(frequency, '')) AS frequency
+  min(birth_number) AS birth_number, max(frequency) AS frequency
   FROM s_rows GROUP BY client_id""", SCORING)
 put("purpose_default", """SELECT d.client_id, l.account_id, d.disp_id, 'unknown' AS loan_purpose,
   0 AS personal_loan, 0 AS car_loan, 0 AS home_loan, 0 AS credit_card_loan, 0 AS business_loan
@@ -719,3 +719,8 @@ put("stream_totals", f"""SELECT client_id, count(*) AS total_transactions, count
     max(seq) AS last_seq FROM r_stream GROUP BY client_id""")
 put("state_upsert", """SELECT seq, client_id, type, round(amount + 3.1415926535e-6, 4) AS amount FROM r_stream
   QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY seq DESC) = 1""")
+
+# --- raw text files ----------------------------------------------------------------
+
+for name in ("batch", "rt"):
+    ORACLE[f"raw_bank_features_{name}"] = ORACLE[f"client_features_{name}"]

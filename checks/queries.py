@@ -482,6 +482,30 @@ def client_features_rt(spark, root):
     return tidy(RT.realtime_features(bank, loan_labels=labels), fine=FINE_RT)
 
 
+def _raw_bank(spark: SparkSession, root: str) -> roles.Bank:
+    """The roles as semicolon text with yymmdd dates and columns in another order, read back."""
+    base = scratch_path(spark, "raw-bank")
+    layouts = {}
+    for name, df in roles.bank(spark, root).tables().items():
+        pattern = "yyMMdd '00:00:00'" if name == "card" else "yyMMdd"
+        dated = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DateType)]
+        df = df.drop("date_int").withColumns({c: F.date_format(c, pattern) for c in dated})
+        layouts[name] = df.schema
+        tables.write_csv(df.select(*reversed(df.columns)), f"{base}/{name}", sep=";")
+    return roles.Bank(**tables.bank_tables(spark, base, suffix="", layouts=layouts, keep_empty=True))
+
+
+@query
+def raw_bank_features_batch(spark, root):
+    return tidy(B.client_features(_raw_bank(spark, root)), fine=FINE_BATCH)
+
+
+@query
+def raw_bank_features_rt(spark, root):
+    labels = loan_labels(spark, root)
+    return tidy(RT.realtime_features(_raw_bank(spark, root), loan_labels=labels), fine=FINE_RT)
+
+
 # Columns whose exact value has more than four decimals and no division behind it.
 FINE_BATCH = ("balance_min", "balance_max")
 FINE_USD = (

@@ -45,11 +45,6 @@ LOAN_LABELS = _struct(
 CARD_LABELS = _struct(
     "client_id:long account_id:long disp_id:long classic:int gold:int junior:int"
 )
-EXTERNAL_LOANS = _struct(
-    "annual_income:double total_credit_utilized:double loan_amount:double installment:double "
-    "term:double num_mort_accounts:double num_total_cc_accounts:double debt_to_income:double "
-    "loan_purpose:string"
-)
 SCORING_EVENT = _struct(
     "trans_id:long account_id:long date:long type:string operation:string amount:double "
     "balance:double k_symbol:string bank:string account:string client_id:long "
@@ -80,7 +75,6 @@ UPSERT_KEYS = {
 }
 APPEND_KEYS = {"trans": "account_id", "loan": "account_id", "order": "account_id", "card": "disp_id"}
 
-
-def all_string(schema: T.StructType) -> T.StructType:
-    """The same columns, every one a string."""
-    return T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+BANK_TABLES = ("client", "account", "disp", "trans", "loan", "order", "card", "district")
+# A file without these of its table has another layout.
+KEY_COLUMNS = {"client_id", "account_id", "disp_id", "trans_id", "loan_id", "order_id", "card_id", "district_id", "A1"}
