@@ -1,6 +1,7 @@
 """The two profiles on small hand-made banks, and equality of the skew paths on real tables."""
 
 import datetime as dt
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import aggregates as A
 from ledgerlens.operators import labels as L
 from ledgerlens.plans import batch_features as B
-from ledgerlens.plans.lookalike import client_snapshot
+from ledgerlens.plans.lookalike import client_snapshot, target_list
 from ledgerlens.plans.realtime_features import realtime_features
 from ledgerlens.sources import roles
 from ledgerlens.sources.roles import Bank
@@ -175,3 +176,13 @@ def test_hot_clients_equal_ordinary_ones(spark, sf, limit):
     rows = lambda df: {r["client_id"]: r.asDict() for r in df.collect()}
     _close(rows(realtime_features(full)), rows(realtime_features(full, limit=limit)))
     _close(rows(B.client_features(full)), rows(B.client_features(full, limit=7)))
+
+
+def test_lookalikes_of_a_small_or_empty_cohort(spark, sf):
+    bank = roles.bank(spark, sf)
+    owners = bank.disp.where("type = 'OWNER'").join(bank.loan, "account_id", "left_semi")
+    few = bank.loan.join(owners.orderBy("client_id").limit(6).select("account_id"), "account_id", "left_semi")
+    asof = F.lit("1999-01-01").cast("date")
+    some = target_list(replace(bank, loan=few), asof).agg(F.count("*"), F.count("similarity_score")).first()
+    assert some[0] == some[1] > 0
+    assert target_list(replace(bank, loan=bank.loan.where("false")), asof).isEmpty()
