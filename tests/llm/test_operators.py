@@ -234,6 +234,26 @@ def test_templates(spark):
     assert [r.doc_id for r in templates.find_contaminated(mixed, twice).collect()] == [2]
 
 
+def test_templates_in_any_capitals(spark):
+    items = {
+        1: "What is the capital city of France today?",
+        2: "When did the Roman general Julius Caesar first cross the Rubicon river with his Legion?",
+        3: "Natalia sold clips to 48 of her friends in April. Natalia then sold half as many clips in May, how many did she sell altogether?",
+        4: "Tom has 5 apples. Mary gives him 3 more. Tom eats 2 of the apples. How many apples does Tom have now?",
+        5: "The Old Man And The Sea Was Written By Which Famous Author",
+    }
+    texts = {
+        1: "intro " + items[1], 2: "so " + items[2].lower(), 3: items[3].replace("Natalia", "Robert").replace("48", "36"),
+        4: "(a)  " + items[4].replace("Tom", "Ben").replace("Mary", "Zoe").replace("5", "8").replace("2", "4"), 5: items[5],
+        6: items[1].upper(), 7: "x " + items[3].lower().replace("48", "36"), 8: "Which is the smallest village of Spain now? When did the Greek general sleep?",
+        9: items[4].replace("Tom has", "Ben has").replace("Tom eats", "Max eats").replace("Tom have", "Leo have").replace("apples", "pears"),
+    }
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    out = {r.doc_id: r for r in templates.find_contaminated(frame(spark, [(i, t, "en", "s") for i, t in texts.items()]), bench).collect()}
+    assert {i: r["items"] for i, r in out.items()} == {1: [1], 2: [2], 3: [3], 4: [4], 5: [5], 6: [1], 7: [3]}
+    assert {i: r.changed for i, r in out.items()} == {1: False, 2: False, 3: True, 4: True, 5: False, 6: False, 7: True}
+
+
 def test_planted_benchmark_items(spark):
     root = "/root/testdata/sf0.01"
     got = {r.doc_id for r in queries.QUERIES["op1_template_decontamination"](spark, root).collect()}
