@@ -6,6 +6,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +24,27 @@ CACHE = 200_000  # restored tokens a worker keeps
 # Letters that a character may stand for.
 LEET = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t",
+    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "#": "h",
 }
+NOISE = "/\\*._~^-"  # signs that may have been put between the letters of a word
 # costs of the channel, as negative logarithms
 COST_LEET, COST_REPEAT, COST_KEPT = 0.5, 0.7, 4.0
-
-# Tokens that the channel may have changed: signs between letters, three equal letters in a row,
-# single letters with one separator between them.
+COST_NOISE = 3.0  # a sign within a word left out
+GAP = 4  # separators in a row between single letters
+REACH = 3 * (GAP + 1)  # beyond the first of three spaced letters
+
+# Tokens that the channel may have changed: spaced single letters or signs, words with signs in or
+# beside them, words with two equal letters in a row.
+_SIGN, _LETTER = "[0-9@$!|+#]", r"[^\W\d_]"
+SEPARATORS = rf"[ {re.escape(NOISE)}]{{1,{GAP}}}"
+_ONE = rf"(?:{_LETTER}|{_SIGN})"
 ODD = re.compile(
-    r"[0-9@$!|+]*[^\W\d_]+(?:[0-9@$!|+]+[^\W\d_]+)+|[0-9@$!|+]+[^\W\d_]{2,}"
-    r"|[^\W\d_]*([^\W\d_])\1\1+[^\W\d_]*"
-    r"|(?<!\w)[^\W\d_](?:[ ._*-][^\W\d_](?!\w)){2,}"
+    rf"(?<![^\W_]){_ONE}(?:{SEPARATORS}{_ONE}(?![^\W_]|[@$|+#])){{2,}}"
+    rf"|{_SIGN}*{_LETTER}+(?:(?:{_SIGN}+|[{re.escape(NOISE)}]){_LETTER}+)+{_SIGN}*"
+    rf"|{_SIGN}+{_LETTER}+{_SIGN}*|{_LETTER}+{_SIGN}+"
+    rf"|{_LETTER}*({_LETTER})\1+{_LETTER}*"
 )
+SPACED = re.compile(rf"{_ONE}(?:{SEPARATORS}{_ONE}){{2,}}")
 
 
 @dataclass(frozen=True)
@@ -43,6 +53,11 @@ class LetterModel:
 
     table: np.ndarray
 
+    @cached_property
+    def flat(self) -> list[float]:
+        """The table as plain numbers, which are faster to read one by one."""
+        return self.table.ravel().tolist()
+
     @staticmethod
     def of(counts: np.ndarray) -> LetterModel:
         c3 = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS).astype(np.float64)
@@ -74,7 +89,8 @@ def letter_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """What each stretch of an odd token may have been: (letters, cost)."""
-    spaced = len(token) > 4 and all(not c.isalnum() for c in token[1::2])
+    spaced = SPACED.fullmatch(token) is not None
+    gap = min(map(len, re.findall(SEPARATORS, token)), default=0) if spaced else 0  # a wider one may be a blank
     slots = []
     at = 0
     while at < len(token):
@@ -83,24 +99,33 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         while at + n < len(token) and token[at + n] == c:
             n += 1
         if c.isalpha():
-            if n < 3:
-                slots.append([(c * n, 0.0)])
+            if n == 1:
+                slots.append([(c, 0.0)])
+            elif n == 2:
+                slots.append([(c * 2, 0.0), (c, COST_KEPT)])  # most doubled letters are right
             else:
                 slots.append([(c, COST_REPEAT), (c * 2, COST_REPEAT), (c * n, COST_KEPT)])
-        elif spaced and at % 2:
-            slots.append([("", 0.0), (" ", COST_KEPT)])
         elif c in LEET:
             read = [(x, COST_LEET) for x in LEET[c]] + [(c * n, COST_KEPT)]
-            slots.append(read + [(x * n, COST_LEET) for x in LEET[c] if n == 2])
+            slots.append(read + [(x * 2, COST_LEET) for x in LEET[c] if n >= 2])
+        elif spaced:
+            while at + n < len(token) and not token[at + n].isalnum() and token[at + n] not in LEET:
+                n += 1
+            slots.append([("", 0.0), (" ", COST_KEPT if n <= gap else COST_REPEAT)])
+        elif c in NOISE and n == 1:
+            slots.append([(c, 0.0), ("", COST_NOISE)])
         else:
             slots.append([(c * n, 0.0)])
         at += n
     return slots
 
 
+SYMBOL = TABLE.tolist()
+
+
 def restore(token: str, model: LetterModel) -> str:
     """The likeliest spelling: exact Viterbi over the lattice, with the last two symbols as state."""
-    logp, table = model.table, TABLE
+    logp = model.flat
     paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for options in [*lattice(token), [(" ", 0.0)]]:
         reached: dict[tuple[int, int], tuple[float, str]] = {}
@@ -108,8 +133,8 @@ def restore(token: str, model: LetterModel) -> str:
             for letters, extra in options:
                 x, y, total = a, b, cost + extra
                 for c in letters:
-                    z = int(table[min(ord(c), 0xFFFF)])
-                    total -= float(logp[x, y, z])
+                    z = SYMBOL[min(ord(c), 0xFFFF)]
+                    total -= logp[(x * SYMBOLS + y) * SYMBOLS + z]
                     x, y = y, z
                 known = reached.get((x, y))
                 if known is None or (total, text + letters) < known:
@@ -119,7 +144,9 @@ def restore(token: str, model: LetterModel) -> str:
 
 
 SIGN = np.zeros(0x10000, bool)
-SIGN[[ord(c) for c in LEET]] = True
+SIGN[[ord(c) for c in [*LEET, *"0123456789"]]] = True
+INNER = np.zeros(0x10000, bool)
+INNER[[ord(c) for c in NOISE]] = True
 
 
 class Restorer:
@@ -131,6 +158,8 @@ class Restorer:
 
     def _one(self, m: re.Match) -> str:
         token = m.group()
+        if not any(c.isalpha() for c in token):
+            return token  # numbers in a row
         if token not in self.known:
             if len(self.known) >= CACHE:
                 self.known.clear()
@@ -152,15 +181,21 @@ def odd_stretches(low: str) -> list[tuple[int, int]]:
     codes = code_points(low)
     letter = letter_symbols(low, codes) > 0
     n = len(codes)
-    if n < 3:
+    if n < 2:
         return [(0, n)] if n else []
+    small = np.minimum(codes, 0xFFFF)
+    sign = SIGN[small]
     hit = np.zeros(n, bool)
-    hit[:-1] = SIGN[np.minimum(codes[:-1], 0xFFFF)] & letter[1:]
-    hit[:-2] |= letter[:-2] & (codes[:-2] == codes[1:-1]) & (codes[1:-1] == codes[2:])
-    alone = letter.copy()
+    hit[:-1] = (sign[:-1] & letter[1:]) | (letter[:-1] & (sign[1:] | (codes[:-1] == codes[1:])))
+    hit[:-2] |= letter[:-2] & INNER[small[1:-1]] & letter[2:]
+    # a single letter or sign, then separators, then another
+    one = letter | sign
+    alone = one.copy()
     alone[1:] &= ~letter[:-1]
-    alone[:-1] &= ~letter[1:]
-    hit[:-4] |= alone[:-4] & alone[2:-2] & alone[4:]
+    alone[:-1] &= ~(one & (codes != ord("!")))[1:]
+    at = np.flatnonzero(alone)
+    near = np.diff(at) <= GAP + 1
+    hit[at[:-2][near[:-1] & near[1:]]] = True
     found: list[list[int]] = []
 
     def blank_after(p: int) -> int:
@@ -169,10 +204,10 @@ def odd_stretches(low: str) -> list[tuple[int, int]]:
 
     for p in np.flatnonzero(hit).tolist():
         if found and p < found[-1][1]:
-            if p + 5 > found[-1][1]:
-                found[-1][1] = blank_after(min(p + 5, n))
+            if p + REACH > found[-1][1]:
+                found[-1][1] = blank_after(min(p + REACH, n))
         else:
-            found.append([max(low.rfind(" ", 0, p), low.rfind("\n", 0, p)) + 1, blank_after(min(p + 5, n))])
+            found.append([max(low.rfind(" ", 0, p), low.rfind("\n", 0, p)) + 1, blank_after(min(p + REACH, n))])
     return [(s, e) for s, e in found]
 
 
@@ -305,8 +340,10 @@ def score_toxicity(
 ) -> DataFrame:
     """One row per input row: ``doc_id, held_out, score, predicted`` and, if ``keep``, ``restored``.
 
-    Tokens that may be obfuscated are decoded in a lattice of leetspeak, spacing and repetition
-    readings under the letter model; the score of the restored text is a probability from 0 to 1.
+    Tokens that may be obfuscated (signs in or beside a word, doubled letters, spaced letters and
+    signs with up to ``GAP`` separators) are decoded in a lattice of leetspeak, spacing and repetition
+    readings under the letter model; a token without any letter stays. The score of the restored text
+    is a probability from 0 to 1.
     Nothing but the text enters it. ``held_out`` marks ids whose crc32 modulo 5 is 0.
 
     Null text counts as empty; an empty text gets the score of a text without any weighted n-gram.

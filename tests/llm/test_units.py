@@ -130,6 +130,29 @@ def test_restoring():
         assert restorer(text) == toxicity.ODD.sub(restorer._one, low)
 
 
+FORMS = {
+    "a sign at the end": ("idio7 loser$ a$$", "idiot losers ass"),
+    "signs within": ("scu/m tras# stu.pid mo-ron", "scum trash stupid moron"),
+    "signs within and at the end": ("tr@s4 7ra$#", "trasa trash"),
+    "signs in spaced letters": ("i d 1 o t, m 0 r 0 n; s.t.u.p.1.d", "idiot, moron; stupid"),
+    "wide spacing": ("s  t  u  p  i  d, m -- o -- r -- o -- n", "stupid, moron"),
+    "doubled letters": ("stuupid morron iddiot", "stupid moron idiot"),
+}
+
+
+@pytest.mark.parametrize("form", sorted(FORMS))
+def test_each_form_is_restored(form):
+    sample = "  you are an idiot and a moron  stupid scum losers  ass trash trasa  all good books and/or hello 7 of the  "
+    restorer = toxicity.Restorer(toxicity.LetterModel.of(np.bincount(letters.ngrams(letters.symbols(sample * 50), 3), minlength=64**3)))
+    given, want = FORMS[form]
+    assert restorer(given) == want
+    assert restorer("text before " * 20 + given + " then 1 2 3 all good books and/or hello!") == "text before " * 20 + want + " then 1 2 3 all good books and/or hello!"
+    rng = random.Random(6)
+    for _ in range(300):  # finding stretches first changes nothing
+        text = "".join(rng.choice(list("aabs  .1$!5/-#") + ["  ", " x ", "word "]) for _ in range(60))
+        assert restorer(text) == toxicity.ODD.sub(restorer._one, text)
+
+
 def test_viterbi_is_the_best_reading():
     rng = np.random.default_rng(4)
     model = toxicity.LetterModel.of(rng.integers(0, 50, 64**3))
