@@ -24,6 +24,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a run of 24 or more: the same spans as all
 OTHER = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}")
 PLACEHOLDER = re.compile(r"example|sample|dummy|changeme|placeholder|your[_-]|xxxx|0000|1234", re.I)
 
+MAX_OWNERS, MAX_REPOS = 1, 1  # a value beyond both is copied
+MANY_REPOS = 50  # a value of more repositories is copied, whoever owns them
+
 SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("hash", pa.int64())])
 
 
@@ -58,14 +61,18 @@ def scan_secrets(
     text_col: str = "text",
     repo_col: str = "doc_id",
     owner_col: str = "source",
-    max_owners: int = 1,
+    max_owners: int = MAX_OWNERS,
     least_entropy: float = 3.2,
+    max_repos: int = MAX_REPOS,
+    many_repos: int = MANY_REPOS,
 ) -> DataFrame:
-    """One row per input row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied``.
+    """One row per input row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, ownership``.
 
     Base spans are pattern matches and always stay. Every candidate value, base or not, is hashed
-    (64 bits) and its distinct repositories and owners are counted over the whole corpus. A value
-    of at most ``max_owners`` owners is live; one that more owners share is a copied example. A
+    (64 bits) and its distinct repositories and owners are counted over the whole corpus; equal texts
+    count as one repository. A value is a copied example if it has more than ``max_owners`` owners
+    and more than ``max_repos`` repositories, or more than ``many_repos`` repositories whoever owns
+    them; any other is live. ``ownership`` lists repositories and owners of every candidate. A
     candidate outside the patterns becomes a span of kind ``owner`` if it is live and looks so
     (letters and digits, entropy, no placeholder word). ``spans`` lists all spans; ``n_live`` and
     ``n_copied`` count the candidates of the row by class.
@@ -80,9 +87,10 @@ def scan_secrets(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, sums, spans = [[], [], []], [], []
+            counts, sums, spans, copies = [[], [], []], [], [], []
             for text in batch.column(3).to_pylist():
                 base = base_spans(text or "")
+                copies.append(xxhash.xxh64_intdigest((text or "").encode()) - (1 << 63))
                 for kind, n in enumerate(counts):
                     n.append(sum(k == kind for _, k, _, _ in base))
                 named = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in base)
@@ -94,8 +102,8 @@ def scan_secrets(
                     ]
                 )
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], *(pa.array(n, pa.int64()) for n in counts), pa.array(sums), pa.array(spans, pa.list_(SPAN))],
-                ["doc_id", "repo", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "found"],
+                [*batch.columns[:3], *(pa.array(n, pa.int64()) for n in counts), pa.array(sums), pa.array(spans, pa.list_(SPAN)), pa.array(copies, pa.int64())],
+                ["doc_id", "repo", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "found", "copy"],
             )
 
     rows = docs.select(
@@ -108,27 +116,24 @@ def scan_secrets(
         rows,
         work,
         "doc_id long, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, "
-        "found array<struct<start:int,kind:int,end:int,hash:bigint>>",
+        "found array<struct<start:int,kind:int,end:int,hash:bigint>>, copy long",
     )
     # numbered before it is written, so that the number of a row stays what it is
     scanned = cut_lineage(scanned.withColumn("row", F.monotonically_increasing_id()))
-    each = scanned.where(F.size("found") > 0).select("row", "repo", "owner", F.explode("found").alias("s"))
-    each = each.select("row", "repo", "owner", "s", F.col("s.hash").alias("hash"))
-    ownership = (
-        each.select("hash", "owner", "repo")
-        .distinct()
-        .groupBy("hash", "owner")
-        .agg(F.count("repo").alias("repos"))
-        .groupBy("hash")
-        .agg(F.count("owner").alias("owners"), F.sum("repos").alias("repos"))
+    each = scanned.where(F.size("found") > 0).select("row", "repo", "owner", "copy", F.explode("found").alias("s"))
+    each = each.select("row", "repo", "owner", "copy", "s", F.col("s.hash").alias("hash"))
+    repo = F.coalesce("repo", F.concat(F.lit("text "), F.col("copy").cast("string")))
+    ownership = each.groupBy("hash").agg(
+        F.count_distinct("owner").alias("owners"), F.least(F.count_distinct(repo), F.count_distinct("copy")).alias("repos")
     )
-    live = F.col("owners") <= max_owners
+    live = ((F.col("owners") <= max_owners) | (F.col("repos") <= max_repos)) & (F.col("repos") <= many_repos)
     judged = (
         each.select("row", "s", "hash")
         .join(ownership, "hash")
         .groupBy("row")
         .agg(
             F.collect_list(F.when((F.col("s.kind") < 3) | live, F.struct("s.start", "s.kind", "s.end"))).alias("kept"),
+            F.collect_list(F.struct("s.start", "s.kind", "s.end", "repos", "owners")).alias("all"),
             F.count_if(live).alias("live"),
             F.count_if(~live).alias("copied"),
         )
@@ -138,6 +143,10 @@ def scan_secrets(
         F.array_sort("kept"),
         lambda s: F.concat_ws(":", F.element_at(kind, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string")),
     )
+    counted = F.transform(
+        F.array_sort("all"),
+        lambda s: F.concat_ws(":", F.element_at(kind, s["kind"] + 1), *(s[k].cast("string") for k in ("start", "end", "repos", "owners"))),
+    )
     return scanned.join(judged, "row", "left").select(
         "doc_id",
         "n_assign",
@@ -147,4 +156,5 @@ def scan_secrets(
         F.coalesce(F.array_join(shown, ","), F.lit("")).alias("spans"),
         F.coalesce("live", F.lit(0)).cast("long").alias("n_live"),
         F.coalesce("copied", F.lit(0)).cast("long").alias("n_copied"),
+        F.coalesce(F.array_join(counted, ","), F.lit("")).alias("ownership"),
     )

@@ -178,6 +178,15 @@ def test_secrets_ownership(spark):
     assert out[5].spans == "" and out[5].n_assign == 0
 
 
+def test_secrets_by_repositories_and_owners(spark):
+    live, spread = "Zq8xK2mN7vB4tR6yW1pL", "Aj3kD9fG5hS7qE2rT8uX"
+    rows = [(1, f"see {live} here", "en", "a"), (2, f"see {live} here", "en", "b")]  # one document and its copy
+    rows += [(10 + i, f"text {i} {spread}", "en", "a") for i in range(secrets.MANY_REPOS + 1)]
+    out = {r.doc_id: r for r in secrets.scan_secrets(frame(spark, rows)).collect()}
+    assert out[1].spans == out[2].spans == "owner:4:24" and out[1].n_live == 1 and out[1].ownership == "owner:4:24:1:2"
+    assert out[10].spans == "" and out[10].n_copied == 1 and out[10].ownership == f"owner:7:27:{secrets.MANY_REPOS + 1}:1"
+
+
 def test_hosts_rules_and_graph(spark):
     rows = [
         (1, "https://WWW.Example.com/en/x?y", ""), (2, "http://a.example.com/en/", ""), (3, "http://a.example.com/fr", ""),
