@@ -7,8 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import bpe, hosts, language, lines, mih, secrets, sharding, simhash, templates, toxicity
+from ledgerlens.llm import (
+    bpe, chat, codes, hosts, language, lines, mih, repair, secrets, sharding, simhash, templates, toxicity,
+)
 from ledgerlens.llm.common import table
+from ledgerlens.sources.storage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,3 +90,32 @@ def op10_language_ftrl(spark: SparkSession, root: str) -> DataFrame:
 def op1_template_decontamination(spark: SparkSession, root: str) -> DataFrame:
     found = templates.find_contaminated(table(spark, root, "documents"), table(spark, root, "benchmark"))
     return found.select("doc_id", "items", "coverage", "changed")
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, root: str) -> DataFrame:
+    return repair.repair_report(table(spark, root, "conversations"))
+
+
+@query
+def op12_prefix_targets(spark: SparkSession, root: str) -> DataFrame:
+    turns = table(spark, root, "conversations").select("conv_id", "turn", "role", "text")
+    # a conversation that speaks in control strings
+    said = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    return chat.read_back(chat.prefix_examples(turns.unionByName(said)))
+
+
+@query
+def op13_bounded_codes(spark: SparkSession, root: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, root, "embeddings"))
+    path = scratch_path(spark, "codes")
+    coded.write.parquet(path)
+    out = codes.with_label_error(spark.read.parquet(path))
+    return out.select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(codes.codebook_digest(books)).alias("codebooks_sha256")
+    )
