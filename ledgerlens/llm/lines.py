@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.llm.common import lower_ascii, stripped
+from ledgerlens.sources.storage import scratch_path
 
 
 def _split(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def _key(line: Column) -> Column:
+    """``lower_ascii``; a line of single bytes takes the quick way."""
+    return F.when(F.octet_length(line) == F.length(line), F.lower(line)).otherwise(lower_ascii(line))
+
+
 def dedup_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -25,9 +31,12 @@ def dedup_lines(
     points in at least ``min_docs`` documents stay only in the document with the largest id;
     the others are put together again by position.
 
-    Only hashes are exploded. A line of a third of all rows is counted by partial aggregates,
-    and its rows meet the short list of hot lines in a join that adaptive execution can split.
-    The text moves once, to meet the positions dropped from it.
+    Texts are split once. Lines too short to count are dropped before anything is done to them; of
+    the others a hash, the document and the position are written, and both the counts and the
+    positions to drop are read from there. A line of a third of all rows is counted by partial
+    aggregates; its rows meet the written list of hot lines in a join whose two sides are plain
+    exchanges, which adaptive execution splits. The text moves once, to meet the positions dropped
+    from it.
 
     Null or empty text is one empty line. Rows without id count for no document and lose every
     hot line. Repeated rows, and several texts under one id, are each treated whole. An empty
@@ -36,16 +45,18 @@ def dedup_lines(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
 
-    def key(line: Column) -> Column:
-        k = lower_ascii(stripped(line))
-        # 96 bits of hash stand for the line
-        return F.when(F.length(k) >= min_chars, F.struct(F.xxhash64(k).alias("a"), F.hash(k).alias("b")))
-
-    found = (
-        rows.select("doc_id", "text_hash", F.posexplode(F.transform(_split(F.col("text")), key)).alias("pos", "k"))
-        .where("k is not null")
-        .select("doc_id", "text_hash", "pos", F.col("k.a").alias("a"), F.col("k.b").alias("b"))
+    spark = docs.sparkSession
+    key = _key(stripped(F.col("line")))
+    long = (
+        rows.select("doc_id", "text_hash", F.posexplode(_split(F.col("text"))).alias("pos", "line"))
+        .where(F.length("line") >= min_chars)
+        .select("doc_id", "text_hash", "pos", key.alias("key"))
+        .where(F.length("key") >= min_chars)
     )
+    # 96 bits of hash stand for the line
+    path = scratch_path(spark, "lines")
+    long.select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("a"), F.hash("key").alias("b")).write.parquet(path)
+    found = spark.read.parquet(path)
     hot = (
         found.select("a", "b", "doc_id")
         .distinct()
@@ -54,6 +65,9 @@ def dedup_lines(
         .where(F.col("n") >= min_docs)
         .select("a", "b", "keeper")
     )
+    path = scratch_path(spark, "hot-lines")
+    hot.write.parquet(path)
+    hot = spark.read.parquet(path)
     dropped = (
         found.join(hot, ["a", "b"])
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
