@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.llm.common import lower_ascii
-from ledgerlens.sources.storage import cut_lineage
+from ledgerlens.sources.storage import cut_lineage, scratch_path
 
 MAX_RULES = 10_000  # rules are literals in the plan; a longer list belongs in a table
 HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
+TOLERANCE = 1e-8  # mass still on its way when a rank counts as settled
 LINKS_PER_PART = 4096  # hot hosts are split into parts of about this many edges
 
 
@@ -60,39 +61,56 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     )
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 8) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = TOLERANCE) -> DataFrame:
     """``host, score``: personalised PageRank of the seeds (``host, mass``) along weighted edges.
 
-    Each round is one join of edges with scores and one partial aggregate; edges carry a part
-    number, so that the edges of one host can lie in many tasks. What a host without edges holds
-    returns to the seeds by the normalisation at the end.
+    The rank is built up by what is still on its way: each round sends on only the mass that came
+    in during the last one, until that is at most ``tolerance`` of the whole; what is missing then
+    is below damping / (1 - damping)**2 times that. A link of a host to itself is solved at once
+    (mass that comes in m times over, m = 1 / (1 - damping * its share)), so graphs in which most
+    links stay on their host settle in few rounds; no number of rounds is fixed.
+
+    Each round is one join of edges with the mass on its way and one partial aggregate; edges carry
+    a part number, so that the edges of one host can lie in many tasks. What a host without edges
+    holds returns to the seeds by the normalisation at the end.
     """
     total = seeds.agg(F.sum("mass")).first()[0]
     if not total:
         return seeds.select("host", F.lit(0.0).alias("score")).where(F.lit(False))
-    start = cut_lineage(seeds.select("host", (F.col("mass") / F.lit(float(total))).alias("seed")))
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"), F.count("*").alias("degree"))
+    shares = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share"), "degree")
+    shares = cut_lineage(shares)
+    own = shares.where("src = dst").groupBy("src").agg(F.sum("share").alias("share"))
+    times = own.select(F.col("src").alias("h"), (1 / (1 - F.lit(damping) * F.col("share"))).alias("times"))
+    factor = F.coalesce("times", F.lit(1.0))
     links = cut_lineage(
-        edges.join(out, "src").select(
+        shares.where("src <> dst")
+        .join(times, F.col("dst") == F.col("h"), "left")
+        .select(
             "src",
             "dst",
-            (F.col("weight") / F.col("out")).alias("share"),
+            (F.lit(damping) * F.col("share") * factor).alias("share"),
             F.pmod(F.xxhash64("dst"), F.ceil(F.col("degree") / LINKS_PER_PART)).cast("int").alias("part"),
         )
     )
-    parts = links.groupBy("src").agg(F.max("part").alias("parts"))
-    score = start.select("host", F.col("seed").alias("score"))
-    for _ in range(rounds):
+    parts = cut_lineage(links.groupBy("src").agg(F.max("part").alias("parts")))
+    start = (F.lit(1 - damping) * F.col("mass") / F.lit(float(total)) * factor).alias("coming")
+    state = seeds.join(times, F.col("host") == F.col("h"), "left").groupBy("host").agg(F.sum(start).alias("coming"))
+    state = cut_lineage(state.select("host", F.col("coming").alias("score"), "coming"))
+    while True:
+        whole, coming = state.agg(F.sum("score"), F.sum("coming")).first()
+        if coming <= tolerance * whole:
+            return state.select("host", (F.col("score") / F.lit(float(whole))).alias("score"))
         sent = (
-            score.join(parts, F.col("host") == F.col("src"))
-            .select("src", "score", F.explode(F.sequence(F.lit(0), F.col("parts"))).alias("part"))
+            state.where("coming > 0")
+            .join(parts, F.col("host") == F.col("src"))
+            .select("src", "coming", F.explode(F.sequence(F.lit(0), F.col("parts"))).alias("part"))
             .join(links, ["src", "part"])
-            .select(F.col("dst").alias("host"), (F.lit(damping) * F.col("score") * F.col("share")).alias("score"))
+            .select(F.col("dst").alias("host"), F.lit(0.0).alias("score"), (F.col("coming") * F.col("share")).alias("coming"))
         )
-        back = start.select("host", (F.lit(1 - damping) * F.col("seed")).alias("score"))
-        score = cut_lineage(sent.unionByName(back).groupBy("host").agg(F.sum("score").alias("score")))
-    whole = score.agg(F.sum("score")).first()[0]
-    return score.select("host", (F.col("score") / F.lit(float(whole))).alias("score"))
+        both = state.select("host", "score", F.lit(0.0).alias("coming")).unionByName(sent)
+        state = both.groupBy("host").agg(F.sum("score").alias("score"), F.sum("coming").alias("coming"))
+        state = cut_lineage(state.select("host", (F.col("score") + F.col("coming")).alias("score"), "coming"))
 
 
 def judge_pages(
@@ -107,7 +125,8 @@ def judge_pages(
 
     A page that a rule fits gets its verdict (longest rule wins). Pages allowed or blocked by a
     rule make their hosts trusted or blocked seeds, in proportion. Trust spreads along links;
-    distrust spreads against them, to hosts that link to blocked ones. A page without rule is
+    distrust spreads against them, to hosts that link to blocked ones; see ``spread`` for when both
+    are settled. A page without rule is
     blocked if the distrust of its host is over ``threshold`` times its trust plus the share of
     all pages it holds; any other is allowed.
 
@@ -141,6 +160,10 @@ def judge_pages(
             (F.col("pages") / F.lit(float(total))).alias("share"),
         )
     )
+    # Written, so that both sides of the last join are plain exchanges, which adaptive execution splits.
+    path = scratch_path(pages.sparkSession, "hosts")
+    scores.write.parquet(path)
+    scores = pages.sparkSession.read.parquet(path)
     bad = (F.col("distrust") > 0) & (F.col("distrust") > F.lit(threshold) * (F.col("trust") + F.col("share")))
     return (
         judged.join(scores, F.col("host") == F.col("h"), "left")

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -203,22 +204,48 @@ def test_hosts_rules_and_graph(spark):
     assert got[10][1:] == ("", None, "allow") or got[10][1:] == ("", None, "block")
 
 
+def solved(edges, seeds, damping=0.85):
+    """Personalised PageRank as the solution of a linear system, scaled to one."""
+    names = sorted({h for s, d, _ in edges for h in (s, d)} | set(seeds))
+    at = {h: i for i, h in enumerate(names)}
+    move = np.zeros((len(names), len(names)))
+    for s, d, w in edges:
+        move[at[d], at[s]] += w
+    out = move.sum(axis=0)
+    move /= np.where(out > 0, out, 1)
+    seed = np.zeros(len(names))
+    for h, m in seeds.items():
+        seed[at[h]] = m / sum(seeds.values())
+    x = np.linalg.solve(np.eye(len(names)) - damping * move, (1 - damping) * seed)
+    return dict(zip(names, x / x.sum()))
+
+
 def test_spread_is_pagerank(spark):
-    edges = [("a", "b", 1.0), ("a", "c", 3.0), ("b", "c", 1.0), ("c", "a", 1.0), ("c", "d", 1.0)]
-    seeds = {"a": 2.0, "b": 1.0}
-    out = {}
-    for s, _, w in edges:
-        out[s] = out.get(s, 0) + w
-    score = {h: m / 3 for h, m in seeds.items()}
-    for _ in range(8):
-        new = {h: 0.15 * m / 3 for h, m in seeds.items()}
-        for s, d, w in edges:
-            if s in score:
-                new[d] = new.get(d, 0) + 0.85 * score[s] * w / out[s]
-        score = new
-    total = sum(score.values())
-    got = hosts.spread(spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame(list(seeds.items()), "host string, mass double"))
-    assert {r.host: pytest.approx(r.score) for r in got.collect()} == {h: v / total for h, v in score.items()}
+    rng = random.Random(1)
+    small = [("a", "b", 1.0), ("a", "c", 3.0), ("b", "c", 1.0), ("c", "a", 1.0), ("c", "d", 1.0), ("c", "c", 5.0)]
+    chain = [(f"h{i}", f"h{i + 1}", 1.0) for i in range(12)]
+    drawn = {(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}"): float(rng.randint(1, 5)) for _ in range(200)}
+    for edges, seeds in (
+        (small, {"a": 2.0, "b": 1.0}),
+        (chain, {"h0": 1.0}),
+        ([(s, d, w) for (s, d), w in drawn.items()], {"n1": 1.0, "n2": 2.0, "lone": 1.0}),
+    ):
+        got = hosts.spread(
+            spark.createDataFrame(edges, "src string, dst string, weight double"),
+            spark.createDataFrame(list(seeds.items()), "host string, mass double"),
+        )
+        got = {r.host: r.score for r in got.collect()}
+        want = solved(edges, seeds)
+        assert all(abs(got.get(h, 0.0) - v) < 1e-6 for h, v in want.items()) and set(got) <= set(want)
+
+
+def test_distrust_reaches_far_hosts_and_fades(spark):
+    rows = [(i, f"http://h{i}.net/de/", f"<a href='http://h{i - 1}.net/de/'>") for i in range(1, 13)]
+    rows += [(0, "http://h0.net/es/", "")]
+    out = hosts.judge_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), queries.RULES, threshold=0.0)
+    got = {r.page_id: (r.verdict, r.distrust) for r in out.collect()}
+    assert all(v == "block" for v, _ in got.values())
+    assert all(got[i][1] > got[i + 1][1] for i in range(1, 11))
 
 
 def test_templates(spark):
