@@ -20,6 +20,7 @@ MAX_TRAIN = 20_000  # labelled rows the scorer is fitted on, chosen by hash
 MAX_FEATURES = 20_000  # n-grams that may carry a weight
 GRAM = 5
 CACHE = 200_000  # restored tokens a worker keeps
+LONG = 64  # letters of a token that is not kept
 
 # Letters that a character may stand for.
 LEET = {
@@ -34,15 +35,17 @@ GAP = 4  # separators in a row between single letters
 REACH = 3 * (GAP + 1)  # beyond the first of three spaced letters
 
 # Tokens that the channel may have changed: spaced single letters or signs, words with signs in or
-# beside them, words with two equal letters in a row.
+# beside them, words with two equal letters in a row. All but the first start where a run of letters
+# or signs starts, so that a run which is no such token is read once and not from each of its letters.
 _SIGN, _LETTER = "[0-9@$!|+#]", r"[^\W\d_]"
 SEPARATORS = rf"[ {re.escape(NOISE)}]{{1,{GAP}}}"
 _ONE = rf"(?:{_LETTER}|{_SIGN})"
 ODD = re.compile(
     rf"(?<![^\W_]){_ONE}(?:{SEPARATORS}{_ONE}(?![^\W_]|[@$|+#])){{2,}}"
-    rf"|{_SIGN}*{_LETTER}+(?:(?:{_SIGN}+|[{re.escape(NOISE)}]){_LETTER}+)+{_SIGN}*"
-    rf"|{_SIGN}+{_LETTER}+{_SIGN}*|{_LETTER}+{_SIGN}+"
-    rf"|{_LETTER}*({_LETTER})\1+{_LETTER}*"
+    rf"|(?<!{_LETTER})(?<!{_SIGN})(?:"
+    rf"{_SIGN}*+{_LETTER}++(?:(?:{_SIGN}++|[{re.escape(NOISE)}]){_LETTER}++)++{_SIGN}*+"
+    rf"|{_SIGN}++{_LETTER}++{_SIGN}*+|{_LETTER}++{_SIGN}++"
+    rf"|{_LETTER}*({_LETTER})\1+{_LETTER}*)"
 )
 SPACED = re.compile(rf"{_ONE}(?:{SEPARATORS}{_ONE}){{2,}}")
 
@@ -123,13 +126,32 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 SYMBOL = TABLE.tolist()
 
 
+Spelt = tuple["Spelt | None", str]  # what came before, and the letters added
+
+
+def _spelling(end: Spelt | None) -> str:
+    out = []
+    while end is not None:
+        end, letters = end
+        out.append(letters)
+    return "".join(reversed(out))
+
+
 def restore(token: str, model: LetterModel) -> str:
-    """The likeliest spelling: exact Viterbi over the lattice, with the last two symbols as state."""
+    """The likeliest spelling: exact Viterbi over the lattice, with the last two symbols as state.
+    Of equally likely ways the first one in the order of the lattice is taken. Linear in the length of
+    the token."""
     logp = model.flat
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    paths: dict[tuple[int, int], tuple[float, Spelt | None]] = {(0, 0): (0.0, None)}
+    done: list[str] = []
     for options in [*lattice(token), [(" ", 0.0)]]:
-        reached: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in paths.items():
+        if len(paths) == 1:
+            # all ways have met: what lies behind is settled
+            (state, (_, end)), = paths.items()
+            done.append(_spelling(end))
+            paths = {state: (0.0, None)}
+        reached: dict[tuple[int, int], tuple[float, Spelt | None]] = {}
+        for (a, b), (cost, end) in paths.items():
             for letters, extra in options:
                 x, y, total = a, b, cost + extra
                 for c in letters:
@@ -137,10 +159,10 @@ def restore(token: str, model: LetterModel) -> str:
                     total -= logp[(x * SYMBOLS + y) * SYMBOLS + z]
                     x, y = y, z
                 known = reached.get((x, y))
-                if known is None or (total, text + letters) < known:
-                    reached[x, y] = (total, text + letters)
+                if known is None or total < known[0]:
+                    reached[x, y] = (total, (end, letters))
         paths = reached
-    return min(paths.values())[1][:-1]
+    return ("".join(done) + _spelling(min(paths.values(), key=lambda path: path[0])[1]))[:-1]
 
 
 SIGN = np.zeros(0x10000, bool)
@@ -160,6 +182,8 @@ class Restorer:
         token = m.group()
         if not any(c.isalpha() for c in token):
             return token  # numbers in a row
+        if len(token) > LONG:
+            return restore(token, self.model)
         if token not in self.known:
             if len(self.known) >= CACHE:
                 self.known.clear()
@@ -197,17 +221,17 @@ def odd_stretches(low: str) -> list[tuple[int, int]]:
     near = np.diff(at) <= GAP + 1
     hit[at[:-2][near[:-1] & near[1:]]] = True
     found: list[list[int]] = []
-
-    def blank_after(p: int) -> int:
-        ends = [e for e in (low.find(" ", p), low.find("\n", p)) if e >= 0]
-        return min(ends, default=n)
-
-    for p in np.flatnonzero(hit).tolist():
+    blanks = np.flatnonzero((codes == ord(" ")) | (codes == ord("\n")))
+    hits = np.flatnonzero(hit)
+    # the blanks around each hit: the last before it, the first from REACH behind it
+    before = np.concatenate([[-1], blanks])[np.searchsorted(blanks, hits)] + 1
+    behind = np.concatenate([blanks, [n]])[np.searchsorted(blanks, np.minimum(hits + REACH, n))]
+    for p, low_end, high_end in zip(hits.tolist(), before.tolist(), behind.tolist()):
         if found and p < found[-1][1]:
             if p + REACH > found[-1][1]:
-                found[-1][1] = blank_after(min(p + REACH, n))
+                found[-1][1] = high_end
         else:
-            found.append([max(low.rfind(" ", 0, p), low.rfind("\n", 0, p)) + 1, blank_after(min(p + REACH, n))])
+            found.append([low_end, high_end])
     return [(s, e) for s, e in found]
 
 
@@ -271,6 +295,12 @@ def fit(
     Labels are read only where crc32 of the id modulo 5 is not 0. The training rows are those with
     the smallest hashes of their id. An n-gram gets a weight if toxic texts hold it more often than
     chance allows for the number of n-grams tested; its weight is its smoothed log-odds.
+
+    The classifier is bounded: an n-gram in fewer than 4 toxic texts of the sample, where chance
+    cannot be told from a sign, gets no weight; of the others the ``4 * MAX_FEATURES`` most frequent
+    are tested, and the ``MAX_FEATURES`` that tell most are kept. Repeated labels of a document count
+    as toxic if one does; labels other than 0 and 1, null ids and null texts teach nothing. Empty
+    tables, or labels of one class, give a scorer without weights.
     """
     spark = docs.sparkSession
     model = LetterModel.of(letter_counts(docs, text_col))

@@ -3,6 +3,7 @@
 import hashlib
 import heapq
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -183,3 +184,13 @@ def test_language_features_and_model():
 
 def test_hash_is_hex():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+@pytest.mark.parametrize("unit", ["ab", "a", "7", "1a", "a b ", "a/", "word1x\n", "!", "a_1"])
+def test_long_runs_take_time_in_proportion(unit):
+    restorer = toxicity.Restorer(toxicity.LetterModel.of(np.ones(64**3, np.int64)))
+    began = time.perf_counter()
+    for n in (100_000, 25_000):
+        text = unit * (n // len(unit)) + ",x1 b"
+        assert restorer(text)[-2:] == " b"
+    assert time.perf_counter() - began < 60  # many minutes if each start of a run were tried
