@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.functions.cleaning import ratio_plus_one
 from ledgerlens.operators.profile_groups import profile_groups
-from ledgerlens.operators.skew import HOT_GROUP_ROWS
 
 INCOMING, OUTGOING = "PRIJEM", "VYDAJ"
 
@@ -55,9 +54,7 @@ def trans_basic(trans: DataFrame, *, key: str = "account_id") -> DataFrame:
     )
 
 
-def trans_enhanced(
-    trans: DataFrame, *, key: str = "account_id", limit: int = HOT_GROUP_ROWS
-) -> DataFrame:
+def trans_enhanced(trans: DataFrame, *, key: str = "account_id") -> DataFrame:
     """Twenty-six transaction measures per account."""
     inn, out = amount_of(INCOMING), amount_of(OUTGOING)
     aggs = _flow_aggs() + [
@@ -81,7 +78,6 @@ def trans_enhanced(
             "unique_operations": F.col("operation"),
             "unique_banks": F.col("bank"),
         },
-        limit=limit,
     )
 
 

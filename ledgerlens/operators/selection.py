@@ -1,27 +1,18 @@
-"""Exact order statistics and exact prefixes of groups of any size.
+"""Exact prefixes of groups of any size, cut at a rank.
 
-An ordinary group is sorted by a window inside one task. A group over the hot limit never
-is: quantile sketches narrow a bracket around the wanted rank, each round counts exactly
-what lies below it, and only the distinct values left inside the bracket are put in order.
-The sketch decides how much work remains, never the answer.
+The row at the wanted rank is found by ``ranks.rows_at`` over slim rows; every other row is then
+compared with the cut of its group, so the rows themselves move at most once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerlens.operators.skew import (
-    HOT_GROUP_ROWS,
-    bounded_broadcast,
-    join_null_safe,
-    split_hot,
-)
-from ledgerlens.sources.storage import cut_lineage
-
-GRID = 256
-MAX_ROUNDS = 6
+from ledgerlens.operators.ranks import number_rows, rows_at
+from ledgerlens.operators.skew import bounded_broadcast, join_null_safe
+from ledgerlens.sources.storage import scratch_path
 
 
 def hash_order(*cols: Column) -> Column:
@@ -30,174 +21,22 @@ def hash_order(*cols: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double")
 
 
-def _inside(rows: DataFrame, bounds: DataFrame, keys: Sequence[str]) -> DataFrame:
-    small = bounds.select(*keys, "_lo", "_hi", "_base", "_a", "_b")
-    joined = join_null_safe(rows.select(*keys, "_v"), bounded_broadcast(small), keys, "inner")
-    return joined.filter(F.col("_v").between(F.col("_a"), F.col("_b")))
-
-
-def values_at_ranks(
-    rows: DataFrame, keys: Sequence[str], ranks: DataFrame, *, limit: int = HOT_GROUP_ROWS
-) -> DataFrame:
-    """The values at 1-based ranks ``_lo`` <= ``_hi`` of ``_v`` in each group.
-
-    ``rows`` holds keys and a non-null double ``_v``; ``ranks`` holds keys, ``_lo`` and
-    ``_hi``. Returns keys, ``_v_lo``, ``_v_hi``, ``_below`` (rows under ``_v_lo``) and
-    ``_ties`` (rows equal to it).
-    """
-    extent = rows.groupBy(*keys).agg(
-        F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.count("_v").alias("_n")
-    )
-    bounds = join_null_safe(extent, ranks, keys, "inner").withColumn(
-        "_base", F.lit(0).cast("long")
-    )
-    bounds = cut_lineage(bounds)
-    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
-    for _ in range(MAX_ROUNDS):
-        widest = bounds.filter(F.col("_a") < F.col("_b")).agg(F.max("_n")).first()[0]
-        if widest is None or widest <= limit:
-            break
-        candidates = _inside(rows, bounds, keys)
-        sketch = candidates.groupBy(*keys, "_lo", "_hi", "_base", "_a", "_b").agg(
-            F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", grid, 10000).alias("_q")
-        )
-        scale = F.lit(float(GRID)) / F.col("_n")
-        first = F.floor((F.col("_lo") - F.col("_base") - 1) * scale).cast("int")
-        last = F.ceil((F.col("_hi") - F.col("_base")) * scale).cast("int")
-        guess = sketch.select(
-            *keys, "_lo", "_hi", "_base", "_a", "_b", "_n",
-            F.element_at("_q", F.greatest(first, F.lit(1))).alias("_ga"),
-            F.element_at("_q", F.least(last + 2, F.lit(GRID + 1))).alias("_gb"),
-        )
-        guess = bounded_broadcast(cut_lineage(guess))
-        state = ["_lo", "_hi", "_base", "_a", "_b", "_n"]
-        counted = (
-            join_null_safe(rows.select(*keys, "_v"), guess, keys, "inner")
-            .filter(F.col("_v").between(F.col("_a"), F.col("_b")))
-            .groupBy(*keys, *state, "_ga", "_gb")
-            .agg(
-                F.count_if(F.col("_v") < F.col("_ga")).alias("_under"),
-                F.count_if(F.col("_v").between(F.col("_ga"), F.col("_gb"))).alias("_kept"),
-            )
-        )
-        under = F.col("_base") + F.col("_under")
-        holds = (under < F.col("_lo")) & (under + F.col("_kept") >= F.col("_hi"))
-        bounds = cut_lineage(
-            counted.select(
-                *keys, "_lo", "_hi",
-                F.when(holds, under).otherwise(F.col("_base")).alias("_base"),
-                F.when(holds, F.col("_ga")).otherwise(F.col("_a")).alias("_a"),
-                F.when(holds, F.col("_gb")).otherwise(F.col("_b")).alias("_b"),
-                F.when(holds, F.col("_kept")).otherwise(F.col("_n")).alias("_n"),
-            )
-        )
-    histogram = _inside(rows, bounds, keys).groupBy(*keys, "_lo", "_hi", "_base", "_v").agg(
-        F.count(F.lit(1)).alias("_w")
-    )
-    upto = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = histogram.withColumn("_cum", F.col("_base") + F.sum("_w").over(upto))
-    reached_lo = F.col("_cum") >= F.col("_lo")
-    at_lo = F.min_by(
-        F.struct("_v", "_w", (F.col("_cum") - F.col("_w")).alias("_below")),
-        F.when(reached_lo, F.col("_v")),
-    )
-    return (
-        placed.groupBy(*keys)
-        .agg(
-            at_lo.alias("_at"),
-            F.min(F.when(F.col("_cum") >= F.col("_hi"), F.col("_v"))).alias("_v_hi"),
-        )
-        .select(
-            *keys,
-            F.col("_at._v").alias("_v_lo"),
-            "_v_hi",
-            F.col("_at._below").alias("_below"),
-            F.col("_at._w").alias("_ties"),
-        )
-    )
-
-
-def quantiles_of_hot(
-    df: DataFrame, keys: Sequence[str], value: Column, prob: float, name: str, *, limit: int
-) -> DataFrame:
-    """Interpolated quantile per group by narrowing; keys and ``name``."""
-    rows = df.select(*keys, value.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    # Read many times over; only the keys and one number are written.
-    rows = cut_lineage(rows)
-    place = F.lit(prob) * (F.col("_m") - 1)
-    ranks = rows.groupBy(*keys).agg(F.count("_v").alias("_m")).select(
-        *keys,
-        (F.floor(place) + 1).alias("_lo"),
-        (F.ceil(place) + 1).alias("_hi"),
-        (place - F.floor(place)).alias("_part"),
-    )
-    ranks = cut_lineage(ranks)
-    found = values_at_ranks(rows, keys, ranks.drop("_part"), limit=limit)
-    both = join_null_safe(found, ranks.select(*keys, "_part"), keys, "inner")
-    between = F.col("_v_lo") + (F.col("_v_hi") - F.col("_v_lo")) * F.col("_part")
-    return both.select(*keys, between.alias(name))
-
-
-def _ranked_prefix(df: DataFrame, keys: Sequence[str], tie: Sequence[str], wanted: Column):
-    """Mark the prefix with one sort per group; for groups that fit one task."""
-    group = Window.partitionBy(*keys)
-    order = group.orderBy(F.col("_v"), F.col("_h"), *[F.col(t) for t in tie])
-    return (
-        df.withColumn("_rn", F.row_number().over(order))
-        .withColumn("_m", F.count(F.lit(1)).over(group))
-        .withColumn("_in", F.col("_rn") <= wanted)
-        .drop("_rn", "_m")
-    )
+def _cuts(slim: DataFrame, keys: Sequence[str], order: Sequence[str], wanted: Column) -> DataFrame:
+    """Per group: the last row inside, as a struct, and whether the next one equals it. Written, so
+    that it can be counted and joined as a plain table."""
+    size = F.least(wanted.cast("long"), F.col("_size"))
+    found = rows_at(slim, keys, order, {"last": size, "next": size + 1})
 
+    def at(which: str) -> Column:
+        return F.max(F.when(F.col("which") == which, F.struct(*order)))
 
-def _narrowed_prefix(
-    df: DataFrame, keys: Sequence[str], tie: Sequence[str], wanted: Column, limit: int
-) -> DataFrame:
-    """Mark the prefix of hot groups from a cut value and a cut tie hash."""
-    slim = cut_lineage(df.select(*keys, "_v", "_h"))
-    sizes = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
-    whole = F.least(wanted.cast("long"), F.col("_m"))
-    target = cut_lineage(sizes.select(*keys, whole.alias("_want")))
-    ranks = target.filter(F.col("_want") > 0).select(
-        *keys, F.col("_want").alias("_lo"), F.col("_want").alias("_hi")
-    )
-    cut = values_at_ranks(slim.select(*keys, "_v"), keys, ranks, limit=limit)
-    cut = join_null_safe(target, cut, keys, "left").select(
-        *keys, F.col("_v_lo").alias("_cut"), "_ties",
-        (F.col("_want") - F.col("_below")).alias("_rest"),
-    )
-    cut = cut_lineage(cut)
-    split = F.col("_rest") < F.col("_ties")
-    tied = join_null_safe(slim, bounded_broadcast(cut.filter(split)), keys, "inner")
-    tied = tied.filter(F.col("_v") == F.col("_cut")).select(*keys, F.col("_h").alias("_v"))
-    tie_ranks = cut.filter(split).select(
-        *keys, F.col("_rest").alias("_lo"), F.col("_rest").alias("_hi")
-    )
-    tie_cut = values_at_ranks(tied, keys, tie_ranks, limit=limit).select(
-        *keys, F.col("_v_lo").alias("_hcut"), F.col("_below").alias("_hbelow"),
-        F.col("_ties").alias("_hties"),
-    )
-    cuts = bounded_broadcast(cut_lineage(join_null_safe(cut, tie_cut, keys, "left")))
-    joined = join_null_safe(df, cuts, keys, "left")
-    at_cut = F.col("_v") == F.col("_cut")
-    take = F.col("_rest") - F.col("_hbelow")
-    # Rows equal in value and in tie hash that only partly fit: the same tie columns.
-    edge = F.coalesce(
-        at_cut & (F.col("_h") == F.col("_hcut")) & (take < F.col("_hties")), F.lit(False)
-    )
-    inside = (F.col("_v") < F.col("_cut")) | (
-        at_cut & (F.col("_hcut").isNull() | (F.col("_h") <= F.col("_hcut")))
-    )
-    order = Window.partitionBy(*keys).orderBy(*[F.col(t) for t in tie])
-    plain = joined.filter(~edge).withColumn("_in", F.coalesce(inside, F.lit(False)))
-    partly = (
-        joined.filter(edge)
-        .withColumn("_rn", F.row_number().over(order))
-        .withColumn("_in", F.col("_rn") <= take)
-        .drop("_rn")
-    )
-    extra = ["_cut", "_ties", "_rest", "_hcut", "_hbelow", "_hties"]
-    return plain.unionByName(partly).drop(*extra)
+    path = scratch_path(slim.sparkSession, "cuts")
+    found.groupBy(*keys).agg(
+        at("last").alias("_last"), at("next").alias("_next"), F.max(size).alias("_want")
+    ).select(
+        *keys, "_last", "_want", (F.col("_last") == F.col("_next")).alias("_split")
+    ).where("_last is not null").write.parquet(path)
+    return slim.sparkSession.read.parquet(path)
 
 
 def mark_prefix(
@@ -208,31 +47,40 @@ def mark_prefix(
     *,
     wanted: Column,
     name: str = "selected",
-    limit: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """Add ``name``: whether the row is among the first ``wanted`` of its group.
 
     Order is ascending ``value`` (nulls last), then ``hash_order(tie)``, then ``tie``.
-    ``wanted`` may use ``_m``, the size of the group. With no keys the frame is one group.
+    ``wanted`` may use ``_size``, the size of the group. With no keys the frame is one group.
+    Where only some of several rows equal in all of that fit, any of them are taken.
     """
-    whole = not keys
     keys = list(keys) or ["_all"]
-    ready = df.withColumn("_all", F.lit(0)) if whole else df
-    last = F.lit(float("inf"))
-    ready = ready.withColumns(
+    ties = {f"_t{i}": F.col(t) for i, t in enumerate(tie)}
+    order = ["_v", "_h", *ties]
+    ready = df.withColumns(
         {
-            "_v": F.coalesce(value.cast("double"), last),
+            "_all": F.lit(0),
+            "_v": F.coalesce(value.cast("double"), F.lit(float("inf"))),
             "_h": hash_order(*[F.col(t) for t in tie]),
+            **ties,
         }
     )
-    cold, hot = split_hot(ready, keys, limit=limit)
-    out = _ranked_prefix(cold, keys, tie, wanted)
-    if hot is not None:
-        marked = _narrowed_prefix(hot, keys, tie, wanted, limit)
-        out = marked if whole else out.unionByName(marked)
-    return out.withColumnRenamed("_in", name).drop("_v", "_h", "_all")
+    cuts = _cuts(ready.select(*keys, *order), keys, order, wanted)
+    both = join_null_safe(ready, bounded_broadcast(cuts), keys, "left")
+    here = F.struct(*order)
+    if cuts.where("_split").isEmpty():
+        return both.select(*df.columns, F.coalesce(here <= F.col("_last"), F.lit(False)).alias(name))
+    edge = F.coalesce(F.col("_split") & (here == F.col("_last")), F.lit(False))
+    below = both.where(F.col("_split") & (here < F.col("_last"))).groupBy(*keys).agg(F.count(F.lit(1)).alias("_below"))
+    part = number_rows(both.where(edge), keys, order, rank="_rank", size="_equal")
+    part = join_null_safe(part, below, keys, "left")
+    fits = F.col("_rank") <= F.col("_want") - F.coalesce(F.col("_below"), F.lit(0))
+    plain = both.where(~edge)
+    return plain.select(
+        *df.columns, F.coalesce(here <= F.col("_last"), F.lit(False)).alias(name)
+    ).unionByName(part.select(*df.columns, fits.alias(name)))
 
 
 def fraction_of_group(fraction: float) -> Column:
     """floor(size * fraction), for ``wanted``."""
-    return F.floor(F.col("_m") * F.lit(float(fraction)))
+    return F.floor(F.col("_size") * F.lit(float(fraction)))

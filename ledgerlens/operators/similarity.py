@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ledgerlens.functions import vectors as V
 from ledgerlens.functions.cleaning import flag
 from ledgerlens.operators.selection import mark_prefix
-from ledgerlens.operators.skew import HOT_GROUP_ROWS
 
 
 def fit_scaler(frames: Sequence[DataFrame], column: str, width: int) -> DataFrame:
@@ -57,13 +56,10 @@ def top_targets(
     *,
     share: float = 0.2,
     floor: int = 100,
-    limit: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """The best max(floor, rows * share) rows."""
-    wanted = F.greatest(F.lit(floor), F.floor(F.col("_m") * F.lit(share)))
-    marked = mark_prefix(
-        df, [], -F.col(score), [id_column], wanted=wanted, name="_top", limit=limit
-    )
+    wanted = F.greatest(F.lit(floor), F.floor(F.col("_size") * F.lit(share)))
+    marked = mark_prefix(df, [], -F.col(score), [id_column], wanted=wanted, name="_top")
     return marked.filter("_top").drop("_top")
 
 

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.operators.selection import fraction_of_group, hash_order, mark_prefix
-from ledgerlens.operators.skew import HOT_GROUP_ROWS
 
 
 def sample_fraction(
@@ -17,13 +16,10 @@ def sample_fraction(
     *,
     seed: int = 42,
     name: str = "selected",
-    limit: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """Mark exactly floor(rows * fraction) rows, in the order of a seeded hash of the id."""
     order = hash_order(F.lit(seed), *[F.col(c) for c in id_columns])
-    return mark_prefix(
-        df, [], order, id_columns, wanted=fraction_of_group(fraction), name=name, limit=limit
-    )
+    return mark_prefix(df, [], order, id_columns, wanted=fraction_of_group(fraction), name=name)
 
 
 def entity_split(
@@ -32,11 +28,10 @@ def entity_split(
     *,
     fraction: float = 0.85,
     seed: int = 42,
-    limit: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """Distinct entities with ``present``: in the first share of a seeded order or not."""
     ids = df.select(entity).distinct()
-    return sample_fraction(ids, [entity], fraction, seed=seed, name="present", limit=limit)
+    return sample_fraction(ids, [entity], fraction, seed=seed, name="present")
 
 
 def chrono_split(
@@ -46,12 +41,11 @@ def chrono_split(
     row_id: str,
     *,
     fraction: float = 0.5,
-    limit: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """Mark the earliest floor(n * fraction) rows of each key as ``present``."""
     when = F.unix_micros(F.col(date).cast("timestamp"))
     return mark_prefix(
-        df, [key], when, [row_id], wanted=fraction_of_group(fraction), name="present", limit=limit
+        df, [key], when, [row_id], wanted=fraction_of_group(fraction), name="present"
     )
 
 
@@ -63,19 +57,18 @@ def train_test(
     test_size: float = 0.3,
     seed: int = 42,
     disjoint: bool = False,
-    limit: int = HOT_GROUP_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """(train, test): a share of rows without the target, and a share of all rows.
 
     The two are drawn independently and may overlap; ``disjoint`` takes test rows out of
     the training set.
     """
-    marked = sample_fraction(df, [entity], test_size, seed=seed, name="_test", limit=limit)
+    marked = sample_fraction(df, [entity], test_size, seed=seed, name="_test")
     test = marked.filter("_test").drop("_test")
     pool = df.filter(F.col(target) == 0)
     if disjoint:
         pool = pool.join(test.select(entity), entity, "left_anti")
-    kept = sample_fraction(pool, [entity], 1 - test_size, seed=seed + 1, name="_train", limit=limit)
+    kept = sample_fraction(pool, [entity], 1 - test_size, seed=seed + 1, name="_train")
     return kept.filter("_train").drop("_train"), test
 
 
@@ -101,16 +94,13 @@ def split_tables(
     entity_fraction: float = 0.85,
     fact_fraction: float = 0.5,
     seed: int = 42,
-    limit: int = HOT_GROUP_ROWS,
 ) -> dict[str, tuple[DataFrame, DataFrame]]:
     """Each table as (present, stream).
 
     Owners' accounts follow their client. The facts of present accounts are cut by time;
     all other facts go to the stream half.
     """
-    split = entity_split(
-        tables["client"], "client_id", fraction=entity_fraction, seed=seed, limit=limit
-    )
+    split = entity_split(tables["client"], "client_id", fraction=entity_fraction, seed=seed)
     present_clients = split.filter("present").select("client_id")
     owners = tables["disp"].filter(F.col("type") == "OWNER").select("client_id", "account_id")
     present_accounts = (
@@ -123,7 +113,7 @@ def split_tables(
     if "trans" in tables:
         candidates = tables["trans"].join(present_accounts, "account_id", "left_semi")
         cut = chrono_split(
-            candidates, "account_id", "date", "trans_id", fraction=fact_fraction, limit=limit
+            candidates, "account_id", "date", "trans_id", fraction=fact_fraction
         )
         ids["trans"] = cut.filter("present").select("trans_id").distinct()
     out = {}

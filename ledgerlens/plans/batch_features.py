@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.functions.cleaning import CZK_TO_USD, fill_numeric, to_usd
 from ledgerlens.operators import aggregates as A
-from ledgerlens.operators.skew import HOT_GROUP_ROWS
 from ledgerlens.sources.roles import Bank
 
 ID_COLUMNS = ("account_id", "card_id", "loan_id", "order_id", "trans_id")
@@ -24,14 +23,12 @@ def with_district(clients: DataFrame, district: DataFrame) -> DataFrame:
     return clients.join(district, clients["district_id"] == district["A1"], "left")
 
 
-def account_summary(
-    bank: Bank, *, suffix: str = "", only_active: bool = False, limit: int = HOT_GROUP_ROWS
-) -> DataFrame:
+def account_summary(bank: Bank, *, suffix: str = "", only_active: bool = False) -> DataFrame:
     """One row per account: frequency and the transaction, loan and order measures.
 
     ``only_active`` keeps accounts with at least one transaction.
     """
-    trans = A.trans_derived(A.trans_enhanced(bank.trans, limit=limit))
+    trans = A.trans_derived(A.trans_enhanced(bank.trans))
     return (
         bank.account.select("account_id", "frequency")
         .join(trans, "account_id", "inner" if only_active else "left")
@@ -57,12 +54,12 @@ def _rollup(
     return counts.join(measures, "client_id")
 
 
-def client_features(bank: Bank, *, fill: bool = False, limit: int = HOT_GROUP_ROWS) -> DataFrame:
+def client_features(bank: Bank, *, fill: bool = False) -> DataFrame:
     """Owners' accounts rolled up per client, card measures and district.
 
     Clients without an owned account drop out. ``fill`` turns null numbers into 0.
     """
-    summary = account_summary(bank, only_active=True, limit=limit)
+    summary = account_summary(bank, only_active=True)
     owned = bank.disp.filter(F.col("type") == "OWNER").select("client_id", "account_id")
     features = _rollup(owned, summary)
     joined = (
@@ -101,7 +98,6 @@ def client_features_with_ids(
     card_stats: bool = False,
     usd: bool = False,
     rate: float = CZK_TO_USD,
-    limit: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """All dispositions rolled up per client, with id lists; every client is kept.
 
@@ -116,7 +112,7 @@ def client_features_with_ids(
             order=to_usd(bank.order, ["amount"], rate=rate),
         )
     suffix = "_usd" if usd else ""
-    summary = account_summary(bank, suffix=suffix, limit=limit)
+    summary = account_summary(bank, suffix=suffix)
     lists = [
         A.distinct_text(F.col(c)).alias(c) for c in ("account_id", "loan_id", "order_id", "trans_id")
     ]

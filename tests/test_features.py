@@ -162,22 +162,6 @@ def test_snapshot_takes_best_balance_nulls_last(bank):
     assert rows[1]["account_id"] == 11 and rows[2]["balance_last"] is None
 
 
-def _close(a, b):
-    assert set(a) == set(b)
-    for key, row in a.items():
-        for c, v in row.items():
-            w = b[key][c]
-            assert w == (pytest.approx(v, rel=1e-9, abs=1e-9) if isinstance(v, float) else v), (key, c)
-
-
-@pytest.mark.parametrize("limit", [30])
-def test_hot_clients_equal_ordinary_ones(spark, sf, limit):
-    full = roles.bank(spark, sf)
-    rows = lambda df: {r["client_id"]: r.asDict() for r in df.collect()}
-    _close(rows(realtime_features(full)), rows(realtime_features(full, limit=limit)))
-    _close(rows(B.client_features(full)), rows(B.client_features(full, limit=7)))
-
-
 def test_lookalikes_of_a_small_or_empty_cohort(spark, sf):
     bank = roles.bank(spark, sf)
     owners = bank.disp.where("type = 'OWNER'").join(bank.loan, "account_id", "left_semi")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import models as M
 from ledgerlens.operators import similarity as S
+from ledgerlens.operators.selection import hash_order
 from ledgerlens.plans.propensity import fit_propensity
 from ledgerlens.sources import roles
 
@@ -34,13 +35,13 @@ def test_mean_cosine_equals_all_pairs(spark):
         assert r["similarity_score"] == pytest.approx(want[r["k"]])
 
 
-def test_top_share_is_exact_beyond_the_limit(spark):
+def test_top_share_is_exact_with_many_ties(spark):
     # A third of all scores are equal.
     df = spark.range(900).selectExpr("id as k", "if(id % 3 = 0, 0.5D, id / 900D) as s")
     for floor, share, rows in ((100, 0.2, 180), (300, 0.2, 300), (2000, 0.2, 900)):
-        plain = S.top_targets(df, "s", "k", share=share, floor=floor).collect()
-        narrow = S.top_targets(df, "s", "k", share=share, floor=floor, limit=50).collect()
-        assert len(plain) == rows and sorted(plain) == sorted(narrow)
+        got = S.top_targets(df, "s", "k", share=share, floor=floor).collect()
+        best = df.orderBy(F.desc("s"), hash_order(F.col("k")), "k").limit(rows).collect()
+        assert len(got) == rows and sorted(got) == sorted(best)
 
 
 def test_precision_skips_large_k(spark):

@@ -1,4 +1,4 @@
-"""Hot groups must give exactly what ordinary groups give; the limit decides only the path."""
+"""Prefixes, medians and splits against brute force, on groups of very different sizes."""
 
 import random
 import statistics
@@ -9,7 +9,6 @@ from pyspark.sql import Window, functions as F
 from ledgerlens.operators.profile_groups import profile_groups
 from ledgerlens.operators.profiling import describe_numeric
 from ledgerlens.operators.selection import fraction_of_group, hash_order, mark_prefix
-from ledgerlens.operators.skew import split_hot
 from ledgerlens.operators.splits import chrono_split, sample_fraction, split_tables, train_test
 from ledgerlens.sources import roles
 
@@ -26,17 +25,10 @@ def skewed(spark):
     return spark.createDataFrame(rows, "k string, id long, v double, c string")
 
 
-def test_split_hot_keeps_every_row(skewed):
-    cold, hot = split_hot(skewed, ["k"], limit=1000)
-    assert hot.select("k").distinct().collect()[0]["k"] == "a"
-    assert cold.count() + hot.count() == 3000
-    assert split_hot(skewed, ["k"], limit=5000)[1] is None
-
-
 def test_medians_and_distincts_match_brute_force(skewed):
     out = profile_groups(
         skewed, ["k"], [F.count("v").alias("n")], medians={"m": F.col("v")},
-        distincts={"u": F.col("c"), "uv": F.col("v")}, limit=200,
+        distincts={"u": F.col("c"), "uv": F.col("v")},
     )
     groups = {}
     for r in skewed.collect():
@@ -52,30 +44,27 @@ def test_medians_and_distincts_match_brute_force(skewed):
 
 
 @pytest.mark.parametrize("fraction", [0.0, 0.1, 0.37, 0.5, 1.0])
-@pytest.mark.parametrize("limit", [10, 400])
-def test_prefix_paths_agree(skewed, fraction, limit):
-    wanted = fraction_of_group(fraction)
-    plain = mark_prefix(skewed, ["k"], F.col("v"), ["id"], wanted=wanted)
-    narrow = mark_prefix(skewed, ["k"], F.col("v"), ["id"], wanted=wanted, limit=limit)
-    assert sorted(plain.select("id", "selected").collect()) == sorted(
-        narrow.select("id", "selected").collect()
-    )
+def test_prefix_equals_a_window(skewed, fraction):
+    out = mark_prefix(skewed, ["k"], F.col("v"), ["id"], wanted=fraction_of_group(fraction))
+    group = Window.partitionBy("k")
+    order = group.orderBy(F.col("v").asc_nulls_last(), hash_order(F.col("id")), "id")
+    brute = skewed.withColumn("selected", F.row_number().over(order) <= F.floor(F.count("*").over(group) * fraction))
+    assert sorted(out.select("id", "selected").collect()) == sorted(brute.select("id", "selected").collect())
 
 
 def test_prefix_of_whole_frame(skewed):
     wanted = fraction_of_group(0.3)
-    for limit in (50, 10_000):
-        out = mark_prefix(skewed, [], -F.col("v"), ["id"], wanted=wanted, limit=limit)
-        assert out.count() == 3000
-        assert out.filter("selected").count() == 900
-        low = out.filter("selected").agg(F.min("v")).first()[0]
-        high = out.filter("not selected").agg(F.max("v")).first()[0]
-        assert low >= high
+    out = mark_prefix(skewed, [], -F.col("v"), ["id"], wanted=wanted)
+    assert out.count() == 3000
+    assert out.filter("selected").count() == 900
+    low = out.filter("selected").agg(F.min("v")).first()[0]
+    high = out.filter("not selected").agg(F.max("v")).first()[0]
+    assert low >= high
 
 
 def test_prefix_with_repeated_ids_is_still_exact(spark):
     df = spark.range(1000).select(F.lit("k").alias("k"), F.lit(1.0).alias("v"), (F.col("id") % 3).alias("id"))
-    out = mark_prefix(df, ["k"], F.col("v"), ["id"], wanted=fraction_of_group(0.5), limit=100)
+    out = mark_prefix(df, ["k"], F.col("v"), ["id"], wanted=fraction_of_group(0.5))
     assert out.filter("selected").count() == 500 and out.count() == 1000
 
 
@@ -87,7 +76,7 @@ def test_chrono_split_seven_equal_dates(spark):
 def test_sample_is_exact_and_reproducible(spark):
     ids = spark.range(1001).withColumnRenamed("id", "k")
     a = sample_fraction(ids, ["k"], 0.3).filter("selected").collect()
-    b = sample_fraction(ids.repartition(7), ["k"], 0.3, limit=100).filter("selected").collect()
+    b = sample_fraction(ids.repartition(7), ["k"], 0.3).filter("selected").collect()
     assert len(a) == 300 and sorted(a) == sorted(b)
     c = sample_fraction(ids, ["k"], 0.3, seed=1).filter("selected").collect()
     assert sorted(a) != sorted(c)
@@ -101,12 +90,12 @@ def test_train_test_disjoint(spark):
     assert train.filter("y = 1").count() == 0
 
 
-def test_quartiles_paths_agree(skewed):
-    a = describe_numeric(skewed, ["v"]).first().asDict()
-    b = describe_numeric(skewed, ["v"], limit=100).first().asDict()
-    assert a.keys() == b.keys()
-    for k in a:
-        assert b[k] == pytest.approx(a[k]), k
+def test_quartiles_equal_the_builtin(skewed):
+    got = {r.column_name: r for r in describe_numeric(skewed, ["v", "id"]).collect()}
+    for c in ("v", "id"):
+        want = skewed.agg(*[F.percentile(c, p) for p in (0.25, 0.5, 0.75)], F.count(c), F.min(c), F.max(c)).first()
+        r = got[c]
+        assert (r.q25, r.q50, r.q75, r.cnt, r.min, r.max) == pytest.approx(tuple(want))
 
 
 def test_hash_order_is_exact_as_double(spark):
@@ -118,13 +107,11 @@ def test_hash_order_is_exact_as_double(spark):
 
 def test_split_tables_loses_nothing(spark, sf):
     tables = roles.bank(spark, sf).tables()
-    halves = split_tables(tables, limit=20)
-    plain = split_tables(tables)
+    halves = split_tables(tables)
     for name, df in tables.items():
         present, stream = halves[name]
         total = df.count()
         counted = present.count()
-        assert counted == plain[name][0].count(), name
         expected = 2 * total if name == "district" else total
         assert counted + stream.count() == expected, name
 
