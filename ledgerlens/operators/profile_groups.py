@@ -4,10 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlens.operators.ranks import quantiles
-from ledgerlens.operators.skew import join_null_safe
+from ledgerlens.operators.skew import HOT_GROUP_ROWS, join_null_safe, split_hot
+
+
+def _ordinary(df, keys, aggs, medians, distincts):
+    """One shuffle by key: windows rank the values, one aggregate picks the middle ones.
+
+    Rank and count share one window specification, so each value costs one sort.
+    """
+    group = Window.partitionBy(*keys)
+    ranked = df.withColumns(
+        {f"_m_{n}": c for n, c in medians.items()} | {f"_d_{n}": c for n, c in distincts.items()}
+    )
+    picks = list(aggs)
+    for n in medians:
+        value = F.col(f"_m_{n}")
+        order = group.orderBy(value.asc_nulls_last())
+        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        ranked = ranked.withColumns(
+            {f"_r_{n}": F.row_number().over(order), f"_c_{n}": F.count(value).over(whole)}
+        )
+        middle = F.abs(2 * F.col(f"_r_{n}") - F.col(f"_c_{n}") - 1) <= 1
+        picks.append(F.avg(F.when(middle, value)).alias(n))
+    for n in distincts:
+        value = F.col(f"_d_{n}")
+        ranked = ranked.withColumn(
+            f"_k_{n}", F.dense_rank().over(group.orderBy(value.asc_nulls_last()))
+        )
+        picks.append(
+            F.coalesce(F.max(F.when(value.isNotNull(), F.col(f"_k_{n}"))), F.lit(0))
+            .cast("long")
+            .alias(n)
+        )
+    return ranked.groupBy(*keys).agg(*picks)
+
+
+def _spread(df, keys, aggs, medians, distincts):
+    """Aggregates that combine before the shuffle, and all medians by rank over slim rows."""
+    counts = [F.count_distinct(c).alias(n) for n, c in distincts.items()]
+    out = df.groupBy(*keys).agg(*aggs, *counts)
+    found = quantiles(df, keys, medians, {"_mid": 0.5})
+    wide = found.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("measure") == n, F.col("_mid"))).alias(n) for n in medians]
+    )
+    return join_null_safe(out, wide, keys, "left")
 
 
 def profile_groups(
@@ -17,19 +60,22 @@ def profile_groups(
     *,
     medians: Mapping[str, Column] | None = None,
     distincts: Mapping[str, Column] | None = None,
+    sizes: DataFrame | None = None,
+    limit: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """Aggregate ``df`` by ``keys``.
 
-    ``aggs`` must be combinable aggregates: they and the distinct counts combine before the
-    shuffle. Medians are looked up by rank over slim rows of key and number, all of them at once,
-    and joined to the result; no group of rows meets in one task, however large.
+    ``aggs`` must be combinable aggregates. Without medians Spark's own two-phase plan spreads a
+    hot key, and no job runs here. With medians, ordinary groups take one shuffle, which also ranks
+    them (measured at about a quarter of the time of the other way on groups of a few rows); groups
+    over ``limit`` rows, found by one count over the keys, are looked up by rank across partitions.
     """
-    counts = [F.count_distinct(c).alias(n) for n, c in (distincts or {}).items()]
-    out = df.groupBy(*keys).agg(*aggs, *counts)
+    medians, distincts = dict(medians or {}), dict(distincts or {})
     if not medians:
-        return out
-    found = quantiles(df, keys, medians, {"_mid": 0.5})
-    wide = found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("measure") == n, F.col("_mid"))).alias(n) for n in medians]
-    )
-    return join_null_safe(out, wide, keys, "left")
+        counts = [F.count_distinct(c).alias(n) for n, c in distincts.items()]
+        return df.groupBy(*keys).agg(*aggs, *counts)
+    cold, hot = split_hot(df, keys, limit=limit, sizes=sizes)
+    out = _ordinary(cold, keys, aggs, medians, distincts)
+    if hot is not None:
+        out = out.unionByName(_spread(hot, keys, aggs, medians, distincts))
+    return out

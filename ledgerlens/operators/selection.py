@@ -1,18 +1,14 @@
-"""Exact prefixes of groups of any size, cut at a rank.
-
-The row at the wanted rank is found by ``ranks.rows_at`` over slim rows; every other row is then
-compared with the cut of its group, so the rows themselves move at most once.
-"""
+"""Exact prefixes of groups of any size."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerlens.operators.ranks import number_rows, rows_at
-from ledgerlens.operators.skew import bounded_broadcast, join_null_safe
-from ledgerlens.sources.storage import scratch_path
+from ledgerlens.operators.ranks import number_rows
+from ledgerlens.operators.skew import HOT_GROUP_ROWS, split_hot
 
 
 def hash_order(*cols: Column) -> Column:
@@ -21,24 +17,6 @@ def hash_order(*cols: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double")
 
 
-def _cuts(slim: DataFrame, keys: Sequence[str], order: Sequence[str], wanted: Column) -> DataFrame:
-    """Per group: the last row inside, as a struct, and whether the next one equals it. Written, so
-    that it can be counted and joined as a plain table."""
-    size = F.least(wanted.cast("long"), F.col("_size"))
-    found = rows_at(slim, keys, order, {"last": size, "next": size + 1})
-
-    def at(which: str) -> Column:
-        return F.max(F.when(F.col("which") == which, F.struct(*order)))
-
-    path = scratch_path(slim.sparkSession, "cuts")
-    found.groupBy(*keys).agg(
-        at("last").alias("_last"), at("next").alias("_next"), F.max(size).alias("_want")
-    ).select(
-        *keys, "_last", "_want", (F.col("_last") == F.col("_next")).alias("_split")
-    ).where("_last is not null").write.parquet(path)
-    return slim.sparkSession.read.parquet(path)
-
-
 def mark_prefix(
     df: DataFrame,
     keys: Sequence[str],
@@ -47,38 +25,36 @@ def mark_prefix(
     *,
     wanted: Column,
     name: str = "selected",
+    limit: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """Add ``name``: whether the row is among the first ``wanted`` of its group.
 
     Order is ascending ``value`` (nulls last), then ``hash_order(tie)``, then ``tie``.
     ``wanted`` may use ``_size``, the size of the group. With no keys the frame is one group.
     Where only some of several rows equal in all of that fit, any of them are taken.
+
+    Groups of at most ``limit`` rows are sorted by a window; larger ones, and the whole frame, are
+    numbered across partitions.
     """
-    keys = list(keys) or ["_all"]
     ties = {f"_t{i}": F.col(t) for i, t in enumerate(tie)}
-    order = ["_v", "_h", *ties]
     ready = df.withColumns(
         {
-            "_all": F.lit(0),
             "_v": F.coalesce(value.cast("double"), F.lit(float("inf"))),
             "_h": hash_order(*[F.col(t) for t in tie]),
             **ties,
         }
     )
-    cuts = _cuts(ready.select(*keys, *order), keys, order, wanted)
-    both = join_null_safe(ready, bounded_broadcast(cuts), keys, "left")
-    here = F.struct(*order)
-    if cuts.where("_split").isEmpty():
-        return both.select(*df.columns, F.coalesce(here <= F.col("_last"), F.lit(False)).alias(name))
-    edge = F.coalesce(F.col("_split") & (here == F.col("_last")), F.lit(False))
-    below = both.where(F.col("_split") & (here < F.col("_last"))).groupBy(*keys).agg(F.count(F.lit(1)).alias("_below"))
-    part = number_rows(both.where(edge), keys, order, rank="_rank", size="_equal")
-    part = join_null_safe(part, below, keys, "left")
-    fits = F.col("_rank") <= F.col("_want") - F.coalesce(F.col("_below"), F.lit(0))
-    plain = both.where(~edge)
-    return plain.select(
-        *df.columns, F.coalesce(here <= F.col("_last"), F.lit(False)).alias(name)
-    ).unionByName(part.select(*df.columns, fits.alias(name)))
+    order = ["_v", "_h", *ties]
+    cold, hot = split_hot(ready, keys, limit=limit) if keys else (None, ready)
+    parts = []
+    if cold is not None:
+        group = Window.partitionBy(*keys)
+        place = F.row_number().over(group.orderBy(*order))
+        parts.append(cold.withColumns({"_place": place, "_size": F.count(F.lit(1)).over(group)}))
+    if hot is not None:
+        parts.append(number_rows(hot, keys, order, rank="_place", size="_size"))
+    marked = [p.select(*df.columns, (F.col("_place") <= wanted).alias(name)) for p in parts]
+    return reduce(DataFrame.unionByName, marked)
 
 
 def fraction_of_group(fraction: float) -> Column:

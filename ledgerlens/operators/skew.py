@@ -1,4 +1,4 @@
-"""Joins on keys that may be null, and broadcasts behind a count."""
+"""Finding the groups that are too large for one task."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from operator import and_
 
 from pyspark.sql import DataFrame, functions as F
 
+# A group up to this many rows may be sorted inside one task.
+HOT_GROUP_ROWS = 1_000_000
 # A frame of keys up to this many rows may be broadcast; beyond it Spark joins by shuffle.
 BROADCAST_KEY_ROWS = 100_000
 
@@ -27,3 +29,32 @@ def bounded_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     if rows is None:
         rows = df.limit(BROADCAST_KEY_ROWS + 1).count()
     return F.broadcast(df) if rows <= BROADCAST_KEY_ROWS else df
+
+
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows per group, pre-aggregated before the shuffle."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def split_hot(
+    df: DataFrame,
+    keys: Sequence[str],
+    *,
+    limit: int = HOT_GROUP_ROWS,
+    sizes: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary groups, rows of groups over ``limit`` or None).
+
+    Runs one job over the key columns. ``sizes`` (keys and ``_n``) replaces the count
+    where a cheaper way to it is known. No row is dropped.
+    """
+    hot = (group_sizes(df, keys) if sizes is None else sizes).filter(F.col("_n") > limit)
+    hot = hot.select(*keys)
+    found = hot.limit(BROADCAST_KEY_ROWS + 1).count()
+    if found == 0:
+        return df, None
+    marked = bounded_broadcast(hot, found)
+    return (
+        join_null_safe(df, marked, keys, "left_anti"),
+        join_null_safe(df, marked, keys, "left_semi"),
+    )

@@ -25,10 +25,11 @@ def skewed(spark):
     return spark.createDataFrame(rows, "k string, id long, v double, c string")
 
 
-def test_medians_and_distincts_match_brute_force(skewed):
+@pytest.mark.parametrize("limit", [0, 200, 5000])
+def test_medians_and_distincts_match_brute_force(skewed, limit):
     out = profile_groups(
         skewed, ["k"], [F.count("v").alias("n")], medians={"m": F.col("v")},
-        distincts={"u": F.col("c"), "uv": F.col("v")},
+        distincts={"u": F.col("c"), "uv": F.col("v")}, limit=limit,
     )
     groups = {}
     for r in skewed.collect():
@@ -44,8 +45,9 @@ def test_medians_and_distincts_match_brute_force(skewed):
 
 
 @pytest.mark.parametrize("fraction", [0.0, 0.1, 0.37, 0.5, 1.0])
-def test_prefix_equals_a_window(skewed, fraction):
-    out = mark_prefix(skewed, ["k"], F.col("v"), ["id"], wanted=fraction_of_group(fraction))
+@pytest.mark.parametrize("limit", [0, 400])
+def test_prefix_equals_a_window(skewed, fraction, limit):
+    out = mark_prefix(skewed, ["k"], F.col("v"), ["id"], wanted=fraction_of_group(fraction), limit=limit)
     group = Window.partitionBy("k")
     order = group.orderBy(F.col("v").asc_nulls_last(), hash_order(F.col("id")), "id")
     brute = skewed.withColumn("selected", F.row_number().over(order) <= F.floor(F.count("*").over(group) * fraction))
@@ -64,7 +66,7 @@ def test_prefix_of_whole_frame(skewed):
 
 def test_prefix_with_repeated_ids_is_still_exact(spark):
     df = spark.range(1000).select(F.lit("k").alias("k"), F.lit(1.0).alias("v"), (F.col("id") % 3).alias("id"))
-    out = mark_prefix(df, ["k"], F.col("v"), ["id"], wanted=fraction_of_group(0.5))
+    out = mark_prefix(df, ["k"], F.col("v"), ["id"], wanted=fraction_of_group(0.5), limit=100)
     assert out.filter("selected").count() == 500 and out.count() == 1000
 
 
