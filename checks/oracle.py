@@ -95,8 +95,9 @@ put("scan_typed", f"""SELECT loan_id, account_id, strftime(date, '%y%m%d') AS da
   {rnd('amount payments')}, duration, status FROM r_loan""")
 put("scan_csv", "SELECT * FROM r_disp")
 put("header_trim", 'SELECT disp_id, client_id, account_id, type FROM r_disp')
-put("discovered_tables", """SELECT 'disp' AS table_name, count(*) AS n FROM r_disp
-  UNION ALL SELECT 'district', count(*) FROM r_district UNION ALL SELECT 'card', count(*) FROM r_card""")
+put("discovered_tables", """SELECT 'disp' AS table_name, concat_ws('|', disp_id, client_id, account_id, type) AS row FROM r_disp
+  UNION ALL SELECT 'district', concat_ws('|', "A1", "A2", "A3") FROM r_district
+  UNION ALL SELECT 'card', concat_ws('|', disp_id, type) FROM r_card""")
 put("limit_scan", """SELECT trans_id, account_id, type, round(amount + 3.1415926535e-6, 4) AS amount FROM r_trans
   ORDER BY account_id, trans_id LIMIT 500""")
 put("convert_tables", """SELECT 'loan' AS table_name, count(*) AS row_count, 7 AS column_count,
@@ -540,6 +541,29 @@ put("split_tables", "\n  UNION ALL ".join([
     halves("trans", "r_trans", "trans_id", "pt"), halves("loan_labels", "s_labels", "client_id", "pc"),
     "SELECT 'district', 'present', count(*) FROM r_district", "SELECT 'district', 'stream', count(*) FROM r_district",
 ]), SPLIT)
+
+
+def routed(table: str, source: str, key: str, ids: str, *shown: str) -> str:
+    inside = f"coalesce({key} IN (SELECT {key} FROM {ids}), false)"
+    return f"""SELECT '{table}' AS table_name, concat_ws('|', {', '.join(shown)}) AS row_key,
+    CASE WHEN {inside} THEN 'present' ELSE 'stream' END AS half FROM {source}"""
+
+
+CARD_LABEL_KEYS = """(SELECT DISTINCT d.client_id, d.account_id, d.disp_id
+    FROM r_card c LEFT JOIN r_disp d ON d.disp_id = c.disp_id)"""
+put("split_rows", "\n  UNION ALL ".join([
+    routed("client", "r_client", "client_id", "pc", "client_id"),
+    routed("account", "r_account", "account_id", "pa", "account_id"),
+    routed("disp", "r_disp", "account_id", "pa", "disp_id"),
+    routed("loan", "r_loan", "account_id", "pa", "loan_id"),
+    routed("order", "r_order", "account_id", "pa", "order_id"),
+    routed("card", "r_card", "disp_id", "pd", "card_id"),
+    routed("trans", "r_trans", "trans_id", "pt", "trans_id"),
+    routed("loan_labels", "s_labels", "client_id", "pc", "client_id", "account_id"),
+    routed("card_labels", CARD_LABEL_KEYS, "client_id", "pc", "client_id", "account_id", "disp_id"),
+    """SELECT 'district', "A1"::VARCHAR, 'present' FROM r_district""",
+    """SELECT 'district', "A1"::VARCHAR, 'stream' FROM r_district""",
+]), SPLIT)
 put("present_transactions", "SELECT trans_id, account_id FROM pt", SPLIT)
 
 SNAPSHOT = """s_agg AS (SELECT account_id, avg(amount) AS amount_mean, sum(amount) AS amount_sum, count(amount) AS amount_count,
@@ -693,6 +717,13 @@ k_best AS (SELECT q.client_id, any_value(q.shown_loans) AS shown_loans, any_valu
 put("knn_label", """SELECT client_id, b.i AS external_id, b.l AS loan_purpose, round(sqrt(b.d), 6) AS distance FROM k_best""", KNN)
 put("purpose_master", "SELECT client_id, b.l AS loan_purpose, shown_loans::BIGINT AS num_loans, shown_cards AS num_cards FROM k_best", KNN)
 
+put("loan_labels_matched", f"""SELECT client_id, account_id, disp_id, loan_purpose, {FLAGS}
+  FROM (SELECT d.client_id, l.account_id, d.disp_id, coalesce(m.loan_purpose, 'unknown') AS loan_purpose
+    FROM r_loan l LEFT JOIN (SELECT * FROM r_disp WHERE type = 'OWNER') d ON d.account_id = l.account_id
+    LEFT JOIN (SELECT o.account_id, arg_min(k.b.l, k.client_id) AS loan_purpose
+      FROM (SELECT client_id, min(account_id) AS account_id FROM r_disp GROUP BY client_id HAVING count(DISTINCT account_id) = 1) o
+      JOIN k_best k ON k.client_id = o.client_id GROUP BY o.account_id) m ON m.account_id = l.account_id)""", KNN)
+
 # --- models ------------------------------------------------------------------------
 
 JUDGED = f"""{ENRICH}, {SNAPSHOT},
@@ -708,6 +739,13 @@ put("classification_report", """SELECT k AS class, round(CASE WHEN claimed > 0 T
 put("regression_error", """SELECT count(*) AS n, round(avg(pow((t.amount - m.a) / 1000, 2)) + 3.1415926535e-6, 4) AS mse
   FROM r_trans t JOIN (SELECT account_id, avg(amount) AS a FROM r_trans GROUP BY 1) m USING (account_id)""")
 
+FOREST_ROWS = f"""s_model AS (SELECT d.disp_id, coalesce(l.amount, 0)::DOUBLE AS loan_amount, (l.loan_id IS NOT NULL)::INT AS loan_taker
+  FROM r_disp d LEFT JOIN r_loan l ON l.account_id = d.account_id),
+s_parts AS ({sampled('s_model', 'disp_id', '0.2', 42, 'held')})"""
+put("propensity_support", """SELECT CASE WHEN held THEN 'test' ELSE 'train' END AS part, loan_taker AS class, count(*) AS support, true AS fits
+  FROM s_parts GROUP BY held, loan_taker""", FOREST_ROWS)
+put("amount_residuals", f"""SELECT disp_id, {rnd('loan_amount')}, loan_taker, true AS adds_up FROM s_parts WHERE held""", FOREST_ROWS)
+
 # --- streaming ---------------------------------------------------------------------
 
 put("stream_totals", f"""SELECT client_id, count(*) AS total_transactions, count(*) FILTER (WHERE type = 'PRIJEM') AS num_incoming,

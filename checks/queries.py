@@ -121,17 +121,19 @@ def scan_declared(spark, root):
 
 @query
 def discovered_tables(spark, root):
-    """Tables found by their folder, and the rows of each."""
+    """Tables found by their folder, row by row."""
     base = scratch_path(spark, "discover")
     bank = roles.bank(spark, root)
     for name in ("disp", "district", "card"):
         tables.write_csv(bank.tables()[name], f"{base}/{name}", sep=";")
     found = tables.discover_tables(spark, base, pattern="*.csv", by_folder=True)
-    counts = [
-        df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
+    shown = {"disp": ("disp_id", "client_id", "account_id", "type"), "district": ("A1", "A2", "A3"),
+             "card": ("disp_id", "type")}
+    rows = [
+        df.select(F.lit(name).alias("table_name"), F.concat_ws("|", *shown[name]).alias("row"))
         for name, df in found.items()
     ]
-    return reduce(DataFrame.unionByName, counts)
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query
@@ -414,6 +416,15 @@ def loan_labels(spark, root):
     return L.loan_labels(loan, roles.dispositions(spark, root), [None, purposes])
 
 
+@query
+def loan_labels_matched(spark, root):
+    """Loan labels whose purpose is that of the nearest loan of another lender."""
+    disp = roles.dispositions(spark, root)
+    purposes = U.with_purpose(_usd_features(spark, root), roles.external_loans(spark, root))
+    found = L.purposes_of_accounts(purposes, disp)
+    return L.loan_labels(roles.loans(spark, root), disp, [found], unmatched="unknown")
+
+
 @query
 def loan_label_totals(spark, root):
     return P.flag_totals(loan_labels(spark, root), list(L.PURPOSE_KEYWORDS))
@@ -569,6 +580,27 @@ def split_tables(spark, root):
     return out
 
 
+_ROW_KEYS = {
+    "client": ("client_id",), "account": ("account_id",), "disp": ("disp_id",), "loan": ("loan_id",),
+    "order": ("order_id",), "card": ("card_id",), "trans": ("trans_id",), "district": ("A1",),
+    "loan_labels": ("client_id", "account_id"), "card_labels": ("client_id", "account_id", "disp_id"),
+}
+
+
+@query
+def split_rows(spark, root):
+    """Table, key and half of every row of the ten tables."""
+    bank = roles.bank(spark, root).tables()
+    bank["loan_labels"] = loan_labels(spark, root)
+    bank["card_labels"] = card_labels(spark, root)
+    parts = []
+    for name, halves in X.split_tables(bank).items():
+        for half, df in zip(("present", "stream"), halves):
+            key = F.concat_ws("|", *_ROW_KEYS[name])
+            parts.append(df.select(F.lit(name).alias("table_name"), key.alias("row_key"), F.lit(half).alias("half")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def present_transactions(spark, root):
     """The present half of the fact table, row by row."""
@@ -755,22 +787,78 @@ def regression_error(spark, root):
     return tidy(M.regression_error(rows, "y", "p"))
 
 
+_FITTED: dict = {}
+
+
+def _propensity(spark, root):
+    """The two forests of a data set, fitted once for the queries that report on them."""
+    key = (spark.sparkContext.applicationId, root)
+    if key not in _FITTED:
+        _FITTED.clear()
+        _FITTED[key] = Y.fit_propensity(roles.bank(spark, root), trees=200)
+    return _FITTED[key]
+
+
 @query
 def propensity_report(spark, root):
-    fitted = Y.fit_propensity(roles.bank(spark, root), trees=200)
-    return tidy(M.classification_report(fitted.test, "loan_taker", "predicted_taker"))
+    """Precision, recall, F1 and accuracy by class, on the rows fitted and on those held back."""
+    fitted = _propensity(spark, root)
+    parts = [
+        M.classification_report(df, "loan_taker", "predicted_taker").withColumn("part", F.lit(name))
+        for name, df in (("train", fitted.train), ("test", fitted.test))
+    ]
+    return tidy(parts[0].unionByName(parts[1]))
+
+
+@query
+def propensity_support(spark, root):
+    """Rows of each part and class, and whether the report's counts add up."""
+    fitted = _propensity(spark, root)
+    out = []
+    for name, df in (("train", fitted.train), ("test", fitted.test)):
+        report = M.classification_report(df, "loan_taker", "predicted_taker")
+        whole = M.confusion(df, "loan_taker", "predicted_taker").agg(F.sum("n")).scalar()
+        fits = F.col("accuracy").between(0, 1) & F.col("precision").between(0, 1) & (F.col("support") <= whole)
+        out.append(
+            report.where("support > 0").select(F.lit(name).alias("part"), "class", "support", fits.alias("fits"))
+        )
+    return out[0].unionByName(out[1])
 
 
 @query
 def amount_model(spark, root):
-    fitted = Y.fit_propensity(roles.bank(spark, root), trees=200)
+    fitted = _propensity(spark, root)
     test = M.with_residual(fitted.test, "loan_amount", "predicted_amount")
     return tidy(test.select("disp_id", "loan_amount", "predicted_amount", "residual"))
 
 
+@query
+def amount_residuals(spark, root):
+    """The rows held back with their amount; prediction and residual have to add up to it, and the
+    forest has to predict within the amounts it has seen."""
+    fitted = _propensity(spark, root)
+    test = M.with_residual(fitted.test, "loan_amount", "predicted_amount")
+    most = fitted.train.agg(F.max("loan_amount")).scalar()
+    adds_up = F.abs(F.col("predicted_amount") + F.col("residual") - F.col("loan_amount")) < 1e-6
+    within = F.col("predicted_amount").between(0, most + F.lit(1e-6))
+    rows = test.select("disp_id", "loan_amount", "loan_taker", (adds_up & within).alias("adds_up"))
+    return tidy(rows)
+
+
+@query
+def amount_error(spark, root):
+    """Mean squared error of the amount forest on the rows fitted and on those held back."""
+    fitted = _propensity(spark, root)
+    parts = [
+        M.regression_error(df, "loan_amount", "predicted_amount").withColumn("part", F.lit(name))
+        for name, df in (("train", fitted.train), ("test", fitted.test))
+    ]
+    return tidy(parts[0].unionByName(parts[1]))
+
+
 @query
 def feature_importance(spark, root):
-    fitted = Y.fit_propensity(roles.bank(spark, root), trees=200)
+    fitted = _propensity(spark, root)
     return tidy(M.feature_importance(fitted.classifier, fitted.features))
 
 

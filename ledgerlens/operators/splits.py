@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.operators.selection import fraction_of_group, hash_order, mark_prefix
+from ledgerlens.sources.storage import cut_lineage
 
 
 def sample_fraction(
@@ -115,7 +116,14 @@ def split_tables(
         cut = chrono_split(
             candidates, "account_id", "date", "trans_id", fraction=fact_fraction
         )
-        ids["trans"] = cut.filter("present").select("trans_id").distinct()
+        # Marked once and written: both halves are read from it, and no row is looked up again.
+        cut = cut_lineage(cut)
+        rest = tables["trans"].join(present_accounts, "account_id", "left_anti")
+        facts = tables["trans"].columns
+        halves = (
+            cut.filter("present").select(*facts),
+            cut.filter(~F.col("present")).select(*facts).unionByName(rest),
+        )
     out = {}
     for name, df in tables.items():
         key, route = ROUTES.get(name, (None, None))
@@ -125,6 +133,8 @@ def split_tables(
             key, route = fallback[0] if fallback else (None, "present")
         if route == "both":
             out[name] = (df, df)
+        elif route == "trans":
+            out[name] = halves
         elif route == "present":
             out[name] = (df, df.limit(0))
         else:

@@ -138,3 +138,8 @@ def test_unit_vectors(spark):
     df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0])], "k int, v array<double>")
     got = values(V.with_unit(df, "v", 2, name="u"), "u")
     assert got == {1: [0.6, 0.8], 2: [0.0, 0.0]}
+
+
+def test_suffix_columns_keeps_the_named_ones(spark):
+    df = spark.range(1).selectExpr("id", "1 as a", "2 as b")
+    assert C.suffix_columns(df, "_x", keep=["id"]).columns == ["id", "a_x", "b_x"]

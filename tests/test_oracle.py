@@ -14,7 +14,7 @@ def con(sf):
 
 def test_every_sql_belongs_to_a_query():
     assert set(ORACLE) <= set(QUERIES)
-    rows_only = {"embedding_inference", "propensity_report", "amount_model", "feature_importance"}
+    rows_only = {"embedding_inference", "propensity_report", "amount_model", "feature_importance", "amount_error"}
     assert set(QUERIES) - set(ORACLE) == rows_only
 
 
