@@ -1,31 +1,52 @@
 """Exact nearest neighbour transfer of a label between two tables.
 
 Both sides are standardised by their own statistics and paired by two feature lists of
-equal length. Identical labelled vectors are merged first. A labelled side of checked size
-is searched inside each task; a larger one is cut into cells around pivots, and the
-triangle inequality decides which cells a query has to visit. No pairs are emitted: a task
-holds one bounded block of labelled vectors and returns one candidate per query row.
+equal length. Identical labelled vectors are merged first. The labelled side becomes a tree:
+a crowded cell is cut around pivots of its own, level by level, until cells hold a bounded
+number of vectors. A query first goes down to the nearest cell, which gives it a bound, and
+then visits only the cells that can hold a vector within that bound. One path serves every
+size: neither side nor the tree is collected or broadcast, and a task holds one cell and one
+block of queries.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.functions.vectors import vector_of
 from ledgerlens.operators.similarity import fit_scaler, standardize
-from ledgerlens.operators.selection import hash_order
+from ledgerlens.operators.skew import bounded_broadcast
 from ledgerlens.sources.storage import cut_lineage
 
-# Labelled vectors up to this count are shipped to every task (200,000 x 16 doubles = 26 MB).
-LOCAL_LABELLED_ROWS = 200_000
-CELL_ROWS = 20_000
-QUERY_BLOCK_ROWS = 50_000
-MAX_PIVOTS = 2_000
+CELL_ROWS = 20_000  # labelled vectors of a cell
+BLOCK_ROWS = 20_000  # rows that meet one cell, or the pivots of one cell, in a task
+FANOUT = 64  # pivots of a crowded cell
+# Cells that so many levels could not thin out (nearly equal vectors) are cut by a hash instead.
+MAX_LEVELS = 9
 _STEP_ELEMENTS = 4_000_000
+_ROOT = 0
+
+
+@dataclass(frozen=True)
+class PivotTree:
+    """``levels`` hold the children of crowded cells: parent, node, pivot, least and greatest
+    distance of a member from the pivot (low, high), vectors (n), parts of a leaf (0 for an inner
+    cell). ``leaves`` are the labelled rows with the cell and part they lie in."""
+
+    levels: list[DataFrame]
+    leaves: DataFrame
+    root_parts: int
+    width: int
+
+
+def _matrix(column: pd.Series, width: int) -> np.ndarray:
+    return np.array(column.tolist(), dtype=float).reshape(len(column), width)
 
 
 def _nearest(q: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,18 +73,14 @@ def _nearest(q: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return where, dist
 
 
-def _gaps(q: np.ndarray, anchors: np.ndarray) -> np.ndarray:
-    """Distances to all anchors, position by position so that nothing cancels."""
-    out = np.zeros((len(q), len(anchors)))
+def _gaps(q: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances to all pivots, position by position so that nothing cancels."""
+    out = np.zeros((len(q), len(pivots)))
     for d in range(q.shape[1]):
-        out += np.square(q[:, d, None] - anchors[None, :, d])
+        out += np.square(q[:, d, None] - pivots[None, :, d])
     return np.sqrt(out)
 
 
-def _matrix(column: pd.Series, width: int) -> np.ndarray:
-    return np.array(column.tolist(), dtype=float).reshape(len(column), width)
-
-
 def _distinct_points(labelled: DataFrame) -> DataFrame:
     """One row per distinct vector: the smallest id and its label."""
     return labelled.groupBy("v").agg(
@@ -71,152 +88,198 @@ def _distinct_points(labelled: DataFrame) -> DataFrame:
     ).select("v", "p.nid", "p.label")
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """At least one partition per core: the work per row is far larger than the row."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, "qid") if df.rdd.getNumPartitions() < cores else df
+def _afresh(df: DataFrame) -> DataFrame:
+    """The same rows under columns of their own, as both sides may stem from one frame."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
-def _search_local(queries: DataFrame, points: DataFrame, width: int) -> DataFrame:
-    """Labelled side within the bound: ship it to the tasks, one pass over the queries."""
-    table = points.orderBy("nid").toPandas()
-    data = (
-        _matrix(table["v"], width), table["nid"].to_numpy(), table["label"].to_numpy(dtype=object)
-    )
-    shared = queries.sparkSession.sparkContext.broadcast(data)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matrix, ids, labels = shared.value
-        for batch in batches:
-            where, dist = _nearest(_matrix(batch["v"], width), matrix)
-            yield pd.DataFrame(
-                {
-                    "qid": batch["qid"], "nid": ids[where], "label": labels[where],
-                    "distance": np.sqrt(dist),
-                }
-            )
+def _meet(
+    many: DataFrame, row_id: str, few: DataFrame, keys: Sequence[str], block_rows: int, work, schema: str
+) -> DataFrame:
+    """``work(rows of many, rows of few)`` for equal keys.
 
-    return _spread(queries).mapInPandas(
-        search, "qid long, nid long, label string, distance double"
+    The rows of ``many`` are dealt over blocks of about ``block_rows``, also where one key holds
+    most of them, and the bounded rows of ``few`` are repeated for each block. ``many`` is read
+    twice, so it has to be cheap: stored rows, filtered or joined to a few.
+    """
+    blocks = many.groupBy(*keys).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_blocks")
     )
-
-
-def _search_cells(
-    queries: DataFrame,
-    points: DataFrame,
-    width: int,
-    rows: int,
-    *,
-    cell_rows: int,
-    query_rows: int,
-) -> DataFrame:
-    """Labelled side beyond the bound: cells, then only the cells that can still win."""
-    spark = queries.sparkSession
-    pivots = min(MAX_PIVOTS, max(2, int(rows**0.5)))
-    chosen = points.orderBy(hash_order(F.col("nid"))).limit(pivots).select("v").toPandas()
-    anchors = spark.sparkContext.broadcast(_matrix(chosen["v"], width))
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            where, dist = _nearest(_matrix(batch["v"], width), anchors.value)
-            yield batch.assign(cell=where.astype("int32"), away=np.sqrt(dist))
-
-    placed = points.mapInPandas(
-        assign, "v array<double>, nid long, label string, cell int, away double"
+    blocks = bounded_broadcast(_afresh(blocks))
+    left = many.join(blocks, list(keys)).withColumn(
+        "_block", F.pmod(F.xxhash64(row_id), F.col("_blocks")).cast("int")
     )
-    placed = cut_lineage(placed)
-    cells = placed.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")
-    ).withColumn("parts", F.ceil(F.col("n") / F.lit(cell_rows)).cast("int"))
-    cells = cut_lineage(cells)
-    # At most MAX_PIVOTS rows reach the driver: radius and number of parts of each cell.
-    table = cells.toPandas()
-    radius = np.full(len(chosen), -np.inf)
-    parts = np.zeros(len(chosen), dtype=np.int64)
-    radius[table["cell"]] = table["radius"]
-    parts[table["cell"]] = table["parts"]
-    extent = spark.sparkContext.broadcast((radius, parts))
-    # A crowded cell is cut into parts of bounded size by a hash of the id.
-    blocks = placed.join(F.broadcast(cells.select("cell", "parts")), "cell").select(
-        "cell", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int").alias("part"),
-        "v", "nid", "label",
+    right = few.join(blocks, list(keys)).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     )
+    by = [*keys, "_block"]
+    return (
+        left.drop("_blocks").groupBy(*by)
+        .cogroup(_afresh(right.drop("_blocks")).groupBy(*by))
+        .applyInPandas(work, schema)
+    )
+
 
-    def route(first: bool):
-        """Rows (query, cell, part): the nearest cell first, then all that may hold better."""
-
-        def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            radii, counts = extent.value
-            full = np.flatnonzero(counts > 0)
-            for batch in batches:
-                q = _matrix(batch["v"], width)
-                gap = _gaps(q, anchors.value)
-                nearest = full[gap[:, full].argmin(axis=1)]
-                if first:
-                    mask = np.zeros(gap.shape, dtype=bool)
-                    mask[np.arange(len(q)), nearest] = True
-                else:
-                    reach = batch["best"].to_numpy()[:, None] * (1 + 1e-9) + 1e-12
-                    mask = (gap - radii[None, :] <= reach) & (counts > 0)[None, :]
-                    mask[np.arange(len(q)), nearest] = False
-                row, cell = np.nonzero(mask)
-                many = counts[cell]
-                offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                picked = batch.iloc[np.repeat(row, many)]
-                yield pd.DataFrame(
-                    {
-                        "qid": picked["qid"].to_numpy(), "v": picked["v"].to_numpy(),
-                        "cell": np.repeat(cell, many).astype("int32"),
-                        "part": offset.astype("int32"),
-                    }
-                )
-
-        return visits
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"qid": [], "nid": [], "label": [], "d2": []})
-        right = right.sort_values("nid", ignore_index=True)
-        where, dist = _nearest(_matrix(left["v"], width), _matrix(right["v"], width))
+def build_tree(
+    points: DataFrame, width: int, *, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS,
+    fanout: int = FANOUT,
+) -> PivotTree:
+    """Cut ``points`` (v, nid, label; distinct vectors) into cells of at most ``cell_rows``.
+
+    Each crowded cell takes as pivots the members with the least hash in ``fanout`` classes of a
+    hash, which combines before the shuffle, and each member joins its nearest pivot. All crowded
+    cells of a level are cut at once.
+    """
+
+    def assign(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:  # no row was dealt to this block
+            return pd.DataFrame({c: [] for c in ("v", "nid", "label", "parent", "node", "away")}, dtype=object)
+        pivots = pivots.sort_values("child", ignore_index=True)
+        where, dist = _nearest(_matrix(rows["v"], width), _matrix(pivots["pivot"], width))
         return pd.DataFrame(
             {
-                "qid": left["qid"].to_numpy(), "nid": right["nid"].to_numpy()[where],
-                "label": right["label"].to_numpy()[where], "d2": dist,
+                "v": rows["v"], "nid": rows["nid"], "label": rows["label"].astype(object),
+                "parent": rows["node"], "node": pivots["child"].to_numpy()[where],
+                "away": np.sqrt(dist),
             }
         )
 
-    def look_up(visits: DataFrame) -> DataFrame:
-        """One candidate per visit. The queries of a block are cut into slots of bounded
-        size and the block is repeated per slot, so a task holds one block and one slot."""
-        visits = cut_lineage(visits)
-        slots = visits.groupBy("cell", "part").agg(
-            F.ceil(F.count(F.lit(1)) / F.lit(query_rows)).cast("int").alias("slots")
+    def parts_of(n: Column, last: bool) -> Column:
+        parts = F.ceil(n / F.lit(cell_rows)).cast("int")
+        return parts if last else F.when(n <= cell_rows, 1).otherwise(0)
+
+    if fanout < 2 or fanout**MAX_LEVELS >= 2**62:
+        raise ValueError("fanout has to be 2 to 100")
+    order = F.xxhash64("nid")
+    levels, leaves = [], []
+    rows = points.count()
+    crowded = points.select("v", "nid", "label", F.lit(_ROOT).cast("long").alias("node"))
+    if rows <= cell_rows:
+        return PivotTree([], crowded.withColumn("part", F.lit(0)), min(rows, 1), width)
+    for level in range(1, MAX_LEVELS + 1):
+        kind = F.pmod(order, F.lit(fanout))
+        pivots = crowded.groupBy("node", kind.alias("kind")).agg(
+            F.min_by("v", F.struct(order, F.col("nid"))).alias("pivot")
         )
-        left = visits.join(slots, ["cell", "part"]).withColumn(
-            "slot", F.pmod(F.xxhash64("qid"), F.col("slots")).cast("int")
+        pivots = cut_lineage(
+            pivots.select("node", (F.col("node") * fanout + 1 + F.col("kind")).alias("child"), "pivot")
         )
-        copies = slots.select(
-            F.col("cell").alias("cell"), F.col("part").alias("part"), F.col("slots").alias("copies")
+        placed = cut_lineage(
+            _meet(
+                crowded, "nid", pivots, ["node"], block_rows, assign,
+                "v array<double>, nid long, label string, parent long, node long, away double",
+            )
+        )
+        cells = placed.groupBy("parent", "node").agg(
+            F.min("away").alias("low"), F.max("away").alias("high"), F.count(F.lit(1)).alias("n")
         )
-        right = blocks.join(copies, ["cell", "part"]).withColumn(
-            "slot", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))
+        cells = cells.withColumn("parts", parts_of(F.col("n"), level == MAX_LEVELS)).join(
+            pivots.select(F.col("child").alias("node"), "pivot"), "node"
         )
-        keys = ["cell", "part", "slot"]
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-            search, "qid long, nid long, label string, d2 double"
+        cells = cut_lineage(cells)
+        levels.append(cells)
+        marked = placed.join(bounded_broadcast(cells.select("node", "parts")), "node")
+        part = F.pmod(F.xxhash64("nid", F.lit(1)), F.col("parts")).cast("int")
+        leaves.append(
+            marked.where("parts > 0").select("v", "nid", "label", "node", part.alias("part"))
+        )
+        if cells.where("parts = 0").isEmpty():
+            break
+        crowded = marked.where("parts = 0").select("v", "nid", "label", "node")
+    return PivotTree(levels, reduce(DataFrame.unionByName, leaves), 0, width)
+
+
+def _visits(queries: DataFrame, tree: PivotTree, block_rows: int, *, bounded: bool) -> DataFrame:
+    """Rows (qid, v, node, part) of the leaves to visit: the nearest one on the way down, or
+    with ``bounded`` every one that can hold a vector within ``best``, but for ``home``.
+
+    A member x of a cell lies between ``low`` and ``high`` from its pivot and no nearer to the
+    pivot of a sister cell, so |q - x| <= best leaves three tests on the distances of the pivots.
+    """
+    width = tree.width
+
+    def step(rows: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.sort_values("node", ignore_index=True)
+        gap = _gaps(_matrix(rows["v"], width), _matrix(cells["pivot"], width))
+        if bounded:
+            low, high = cells["low"].to_numpy()[None, :], cells["high"].to_numpy()[None, :]
+            reach = rows["best"].to_numpy()[:, None]
+            reach = reach + 1e-9 * (1 + reach + gap + high)
+            keep = (gap - high <= reach) & (low - gap <= reach)
+            keep &= gap - gap.min(axis=1, keepdims=True) <= 2 * reach
+            row, col = np.nonzero(keep)
+        else:
+            row, col = np.arange(len(rows)), gap.argmin(axis=1)
+        out = rows.iloc[row].drop(columns="_block").reset_index(drop=True)
+        out["node"] = cells["node"].to_numpy()[col]
+        out["parts"] = cells["parts"].to_numpy()[col]
+        return out
+
+    keep = ["qid", "v", "best", "home"] if bounded else ["qid", "v"]
+    schema = "qid long, v array<double>, node long, parts int"
+    schema += ", best double, home long" if bounded else ""
+    front = queries.select(*keep, F.lit(_ROOT).cast("long").alias("node"))
+    found = [front.withColumn("parts", F.lit(tree.root_parts)).where("parts > 0")]
+    for cells in tree.levels:
+        children = cells.select(
+            F.col("parent"), F.col("node").alias("child"), "pivot", "low", "high", "parts"
+        ).withColumnsRenamed({"parent": "node", "child": "node_"})
+
+        def at(rows: pd.DataFrame, few: pd.DataFrame) -> pd.DataFrame:
+            if rows.empty:  # no row was dealt to this block
+                return pd.DataFrame({c: [] for c in [*keep, "node", "parts"]}, dtype=object)
+            return step(rows, few.drop(columns=["node"]).rename(columns={"node_": "node"}))
+
+        moved = cut_lineage(_meet(front, "qid", children, ["node"], block_rows, at, schema))
+        found.append(moved.where("parts > 0"))
+        front = moved.where("parts = 0").select(*keep, "node")
+    visits = reduce(DataFrame.unionByName, [f.select(*keep, "node", "parts") for f in found])
+    if bounded:
+        visits = visits.where(F.col("node") != F.col("home"))
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    return visits.select("qid", "v", "node", part)
+
+
+def search_tree(queries: DataFrame, tree: PivotTree, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Nearest labelled row of each query (qid, v): qid, nid, label, distance and ``compared``,
+    the number of labelled vectors it was compared with. Equal distances go to the smaller id."""
+    width = tree.width
+
+    def search(rows: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:  # no query was dealt to this block
+            return pd.DataFrame({c: [] for c in ("qid", "node", "nid", "label", "d2", "n")}, dtype=object)
+        cell = cell.sort_values("nid", ignore_index=True)
+        where, dist = _nearest(_matrix(rows["v"], width), _matrix(cell["v"], width))
+        labels = pd.Series(cell["label"].to_numpy(dtype=object, na_value=None), dtype=object)
+        return pd.DataFrame(
+            {
+                "qid": rows["qid"], "node": rows["node"], "nid": cell["nid"].to_numpy()[where],
+                "label": labels.take(where).array, "d2": dist, "n": len(cell),
+            }
+        )
+
+    def look_up(visits: DataFrame) -> DataFrame:
+        return _meet(
+            visits, "qid", tree.leaves, ["node", "part"], block_rows, search,
+            "qid long, node long, nid long, label string, d2 double, n long",
         )
 
     def best_of(candidates: DataFrame) -> DataFrame:
         return candidates.groupBy("qid").agg(
-            F.min_by(F.struct("nid", "label", "d2"), F.struct("d2", "nid")).alias("b")
-        ).select("qid", "b.*")
-
-    visit_schema = "qid long, v array<double>, cell int, part int"
-    home = cut_lineage(best_of(look_up(_spread(queries).mapInPandas(route(True), visit_schema))))
-    known = queries.join(home.select("qid", F.sqrt("d2").alias("best")), "qid")
-    others = look_up(_spread(known).mapInPandas(route(False), visit_schema))
-    return best_of(home.unionByName(others)).select(
-        "qid", "nid", "label", F.sqrt("d2").alias("distance")
+            F.min_by(F.struct("nid", "label", "d2", "node"), F.struct("d2", "nid")).alias("b"),
+            F.sum("n").alias("n"),
+        ).select("qid", "b.*", "n")
+
+    best = best_of(look_up(_visits(queries, tree, block_rows, bounded=False)))
+    if tree.levels:
+        home = cut_lineage(best)
+        known = queries.join(
+            home.select("qid", F.sqrt("d2").alias("best"), F.col("node").alias("home")), "qid"
+        )
+        others = look_up(_visits(cut_lineage(known), tree, block_rows, bounded=True))
+        best = best_of(home.unionByName(others))
+    return best.select(
+        "qid", "nid", "label", F.sqrt("d2").alias("distance"), F.col("n").alias("compared")
     )
 
 
@@ -228,14 +291,15 @@ def nearest_label(
     labelled_id: str,
     label: str,
     pairs: Sequence[tuple[str, str]],
-    local_rows: int = LOCAL_LABELLED_ROWS,
     cell_rows: int = CELL_ROWS,
-    query_rows: int = QUERY_BLOCK_ROWS,
+    block_rows: int = BLOCK_ROWS,
+    fanout: int = FANOUT,
 ) -> DataFrame:
     """For each query row the nearest labelled row by Euclidean distance after scaling.
 
     ``pairs`` lists (query feature, labelled feature); missing values are 0. Equal
-    distances go to the smaller id. Returns qid, nid, label, distance.
+    distances go to the smaller id. Returns qid, nid, label, distance, compared; no rows
+    without labelled rows. Query ids are taken as distinct; rows without id get no result.
     """
     width = len(pairs)
     q = queries.select(
@@ -248,13 +312,9 @@ def nearest_label(
     )
     # The query side may be a long plan; written once, it serves the scaler and the search.
     q = cut_lineage(q)
-    q = standardize(q, "v", fit_scaler([q], "v", width), width)
+    q = standardize(q, "v", fit_scaler([q], "v", width), width).where("qid is not null")
     points = _distinct_points(standardize(p, "v", fit_scaler([p], "v", width), width))
-    points = cut_lineage(points)
-    rows = points.count()
-    if rows <= local_rows:
-        return _search_local(q.select("qid", "v"), points, width)
-    return _search_cells(
-        cut_lineage(q.select("qid", "v")), points.select("v", "nid", "label"), width, rows,
-        cell_rows=cell_rows, query_rows=query_rows,
+    tree = build_tree(
+        cut_lineage(points), width, cell_rows=cell_rows, block_rows=block_rows, fanout=fanout
     )
+    return search_tree(cut_lineage(q.select("qid", "v")), tree, block_rows=block_rows)

@@ -1,9 +1,10 @@
-"""Both searches against all pairs."""
+"""The tree search against all pairs."""
 
 import numpy as np
 import pytest
 
-from ledgerlens.operators.neighbours import nearest_label
+from ledgerlens.operators import neighbours
+from ledgerlens.operators.neighbours import build_tree, nearest_label, search_tree
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +23,7 @@ def sides(spark):
     )
 
 
-@pytest.mark.parametrize("options", [{}, {"local_rows": 10, "cell_rows": 40, "query_rows": 25}])
+@pytest.mark.parametrize("options", [{}, {"cell_rows": 100, "block_rows": 60, "fanout": 8}])
 def test_nearest_label_is_exact(sides, options):
     queries, labelled, q, p, raw = sides
     out = nearest_label(
@@ -37,3 +38,50 @@ def test_nearest_label_is_exact(sides, options):
         best = dist[r["qid"]].argmin()
         assert (r["nid"], r["label"]) == (raw[best][0], raw[best][1])
         assert r["distance"] == pytest.approx(dist[r["qid"], best])
+
+
+def _points(spark, n):
+    rng = np.random.default_rng(7)
+    rows = [([float(x), float(y)], i, f"l{i % 5}") for i, (x, y) in enumerate(rng.uniform(size=(n, 2)))]
+    return spark.createDataFrame(rows, "v array<double>, nid long, label string")
+
+
+def test_comparisons_stay_bounded_as_the_labelled_side_grows(spark):
+    rng = np.random.default_rng(8)
+    q = spark.createDataFrame(
+        [(i, [float(x), float(y)]) for i, (x, y) in enumerate(rng.uniform(size=(200, 2)))],
+        "qid long, v array<double>",
+    )
+    means = []
+    for n in (1_000, 10_000):
+        tree = build_tree(_points(spark, n), 2, cell_rows=100, fanout=16, block_rows=500)
+        sizes = [r["count"] for r in tree.leaves.groupBy("node", "part").count().collect()]
+        assert sum(sizes) == n and max(sizes) <= 100
+        compared = [r["compared"] for r in search_tree(q, tree, block_rows=500).collect()]
+        assert len(compared) == 200
+        means.append(np.mean(compared))
+    assert means[1] < 400 and means[1] < 2 * means[0]
+
+
+def test_cells_that_pivots_cannot_thin_out_are_cut_by_a_hash(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MAX_LEVELS", 1)
+    # One pivot takes nearly all: the others lie far away.
+    rows = [([float(i % 97), float(i)], i, "near") for i in range(500)]
+    rows += [([1e6 + i, 0.0], 1000 + i, "far") for i in range(3)]
+    points = spark.createDataFrame(rows, "v array<double>, nid long, label string")
+    tree = build_tree(points, 2, cell_rows=30, fanout=2)
+    assert tree.leaves.select("node", "part").distinct().count() > 10
+    q = spark.createDataFrame([(i, [float(i % 97), i + 0.25]) for i in range(0, 500, 9)], "qid long, v array<double>")
+    # blocks of two rows: many of them get no row
+    out = {r["qid"]: (r["nid"], r["distance"]) for r in search_tree(q, tree, block_rows=2).collect()}
+    assert out == {i: (i, 0.25) for i in range(0, 500, 9)}
+
+
+def test_no_labelled_rows_no_result_and_queries_without_id_get_none(spark):
+    q = spark.createDataFrame([(1, 1.0), (None, 2.0), (3, None)], "q long, a double")
+    p = spark.createDataFrame([(7, "x", 1.0), (5, "y", 1.0), (8, None, 3.0)], "p long, label string, z double")
+    options = dict(query_id="q", labelled_id="p", label="label", pairs=[("a", "z")])
+    assert nearest_label(q, p.limit(0), **options).collect() == []
+    out = {r["qid"]: r["nid"] for r in nearest_label(q, p, **options).collect()}
+    assert set(out) == {1, 3}
+    assert set(out.values()) <= {5, 8}
