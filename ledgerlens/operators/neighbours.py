@@ -5,7 +5,7 @@ equal length. Identical labelled vectors are merged first. The labelled side bec
 a crowded cell is cut around pivots of its own, level by level, until cells hold a bounded
 number of vectors. A query first goes down to the nearest cell, which gives it a bound, and
 then visits only the cells that can hold a vector within that bound. One path serves every
-size: neither side nor the tree is collected or broadcast, and a task holds one cell and one
+size: neither side nor the pivots are collected or broadcast, and a task holds one cell and one
 block of queries. Results are exact on any data; how many cells the bound spares depends on
 it, and queries far from all labelled vectors have to visit most of them.
 """
