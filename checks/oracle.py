@@ -498,6 +498,15 @@ put("client_features_rt", f"""SELECT c.client_id, c.birth_number, c.district_id,
   LEFT JOIN x_or ON x_or.client_id = c.client_id LEFT JOIN x_cd ON x_cd.client_id = c.client_id
   LEFT JOIN x_di ON x_di.dkey = c.district_id""", RT_CTES)
 
+# A store that follows changes ends where a batch over the changed tables ends.
+ORACLE["store_follow"] = ORACLE["client_features_rt"]
+ORACLE["store_moved_disposition"] = ORACLE["client_features_rt"].replace(
+    "o_orderkey AS disp_id, o_custkey AS client_id,",
+    """o_orderkey AS disp_id, CASE WHEN o_orderpriority IS DISTINCT FROM '5-LOW' THEN o_custkey
+      WHEN o_custkey % 2 = 1 THEN o_custkey + 1 ELSE o_custkey - 1 END AS client_id,""",
+    1,
+)
+
 # --- splits ------------------------------------------------------------------------
 
 put("chrono_split", """SELECT trans_id, account_id, date::VARCHAR AS date, rn <= floor(n * 0.5::DOUBLE) AS present

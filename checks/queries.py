@@ -6,6 +6,7 @@ Numbers are rounded only here, so that sums taken in another order compare equal
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
@@ -905,6 +906,45 @@ def stream_score(spark, root):
     )
 
 
+def _followed(spark, root, start: roles.Bank, changes: list[tuple[str, DataFrame]]) -> DataFrame:
+    """Features of a store that began with ``start`` and took in ``changes``, one micro-batch each."""
+    store = jobs.FeatureStore(spark, scratch_path(spark, "store"), compact_every=2)
+    store.bootstrap(start, loan_labels(spark, root))
+    source = scratch_path(spark, "messages")
+    for at, (name, rows) in enumerate(changes):
+        messages = rows.select(
+            F.lit(name).alias("table"), F.to_json(F.struct(*rows.columns)).alias("value"),
+            F.lit(at).cast("long").alias("seq"),
+        )
+        messages.write.mode("append").parquet(source)
+        stream = ingest.table_stream(spark, source, messages.schema, fmt="parquet")
+        work = store.follow({name: df.schema for name, df in changes})
+        # the same checkpoint goes on where the run before stopped
+        jobs.start(stream, work, checkpoint=f"{store.path}/progress").awaitTermination()
+    return tidy(store.features.read().drop("_seq"), fine=FINE_RT)
+
+
+@query
+def store_follow(spark, root):
+    """Transactions up to mid-1994 are there at the start, the rest comes in three micro-batches."""
+    bank = roles.bank(spark, root)
+    years = [F.lit(d).cast("date") for d in ("1994-06-30", "1996-06-30", "1997-06-30")]
+    early = bank.trans.where(F.col("date").isNull() | (F.col("date") <= years[0]))
+    late = [bank.trans.where((F.col("date") > a) & (F.col("date") <= b)) for a, b in zip(years, years[1:])]
+    late.append(bank.trans.where(F.col("date") > years[-1]))
+    return _followed(spark, root, replace(bank, trans=early), [("trans", df) for df in late])
+
+
+@query
+def store_moved_disposition(spark, root):
+    """Every disponent's disposition moves to the neighbouring client."""
+    bank = roles.bank(spark, root)
+    moved = bank.disp.where(F.col("type") == "DISPONENT").withColumn(
+        "client_id", F.col("client_id") + F.when(F.col("client_id") % 2 == 1, 1).otherwise(-1)
+    )
+    return _followed(spark, root, bank, [("disp", moved.select(*bank.disp.columns))])
+
+
 STREAM_ROW = T.StructType(
     [T.StructField("row_key", T.StringType())]
     + [f for f in schemas.SCORING_EVENT.fields if f.name != "trans_id"]
