@@ -643,6 +643,20 @@ LINE = f"""CASE WHEN ok THEN (CASE WHEN score >= 0.5 THEN 'TARGET' ELSE 'SKIP (l
 WHO = "(SELECT *, CASE WHEN client_id > 0 THEN client_id::VARCHAR ELSE 'N/A' END AS who FROM s_score)"
 put("decision_line", f"SELECT trans_id, {LINE} AS output FROM {WHO}", ENRICH)
 put("stream_score", f"SELECT trans_id AS row_key, {LINE} AS output FROM {WHO}", ENRICH)
+# Three batches, each with the totals of what came before it.
+RUNNING = ENRICH.replace(
+    "s_tot AS (SELECT account_id,", """s_cut AS (SELECT * FROM (VALUES (DATE '1998-06-30', DATE '1999-12-31'),
+    (DATE '1999-12-31', DATE '2000-12-31'), (DATE '2000-12-31', DATE '9999-12-31')) v(lo, hi)),
+s_tot AS (SELECT lo, hi, account_id,""",
+).replace(
+    "FROM r_trans GROUP BY account_id)", "FROM r_trans JOIN s_cut ON coalesce(date, DATE '1900-01-01') <= lo GROUP BY lo, hi, account_id)"
+).replace(
+    "t.account_id = r.account_id AND r.account_id <> 0", "t.account_id = r.account_id AND r.account_id <> 0 AND r.date > t.lo AND r.date <= t.hi"
+).replace(
+    "a.account_id = r.account_id AND r.account_id <> 0)", "a.account_id = r.account_id AND r.account_id <> 0 WHERE r.date > DATE '1998-06-30')"
+)
+RUNNING = RUNNING.replace("SELECT t.trans_id, t.account_id,", "SELECT t.trans_id, t.date, t.account_id,", 1)
+put("stream_score_running", f"SELECT trans_id, {LINE} AS output FROM {WHO}", RUNNING)
 
 # --- look-alike --------------------------------------------------------------------
 

@@ -33,6 +33,7 @@ from ledgerlens.sources import json_rows as J
 from ledgerlens.sources import roles, schemas, tables
 from ledgerlens.sources.storage import cut_lineage, scratch_path
 from ledgerlens.streaming import ingest, jobs
+from ledgerlens.streaming.scoring import RunningTotals
 from ledgerlens.streaming.state import StateTable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -926,9 +927,9 @@ def _followed(spark, root, start: roles.Bank, changes: list[tuple[str, DataFrame
 
 @query
 def store_follow(spark, root):
-    """Transactions up to mid-1994 are there at the start, the rest comes in three micro-batches."""
+    """Transactions up to mid-1998 are there at the start, the rest comes in three micro-batches."""
     bank = roles.bank(spark, root)
-    years = [F.lit(d).cast("date") for d in ("1994-06-30", "1996-06-30", "1997-06-30")]
+    years = [F.lit(d).cast("date") for d in CUTS]
     early = bank.trans.where(F.col("date").isNull() | (F.col("date") <= years[0]))
     late = [bank.trans.where((F.col("date") > a) & (F.col("date") <= b)) for a, b in zip(years, years[1:])]
     late.append(bank.trans.where(F.col("date") > years[-1]))
@@ -945,6 +946,37 @@ def store_moved_disposition(spark, root):
     return _followed(spark, root, bank, [("disp", moved.select(*bank.disp.columns))])
 
 
+CUTS = ("1998-06-30", "1999-12-31", "2000-12-31")
+
+
+@query
+def stream_score_running(spark, root):
+    """Each transaction after mid-1998 scored against the totals of all that came before its batch."""
+    bank = roles.bank(spark, root)
+    audit, source = scratch_path(spark, "audit"), scratch_path(spark, "score-in")
+    state = RunningTotals(spark, scratch_path(spark, "running"), date="day", compact_every=2)
+    cuts = [F.lit(d).cast("date") for d in CUTS]
+    history = bank.trans.withColumnRenamed("date", "day")
+    state.seed(history.where(F.col("day").isNull() | (F.col("day") <= cuts[0])))
+    rows = _scoring_rows(spark, root).withColumn(
+        "day", C.parse_yymmdd(F.lpad(F.col("date").cast("string"), 6, "0"))
+    )
+
+    def score(batch: DataFrame, totals: DataFrame) -> DataFrame:
+        enriched = G.enrich_txn(batch, bank.client, bank.account, bank.district, totals, asof=asof())
+        return G.decide(enriched).select("trans_id", "output")
+
+    work = state.follow(score, jobs.audit_csv(audit))
+    for low, high in zip(cuts, [*cuts[1:], None]):
+        part = rows.where(F.col("day") > low)
+        part = part if high is None else part.where(F.col("day") <= high)
+        part.write.mode("append").parquet(source)
+        stream = ingest.table_stream(spark, source, rows.schema, fmt="parquet")
+        jobs.start(stream, work, checkpoint=f"{state.path}/progress").awaitTermination()
+    written = spark.read.schema("trans_id string, output string").option("header", True).csv(audit)
+    return written.select("trans_id", "output")
+
+
 STREAM_ROW = T.StructType(
     [T.StructField("row_key", T.StringType())]
     + [f for f in schemas.SCORING_EVENT.fields if f.name != "trans_id"]
