@@ -4,10 +4,11 @@ Both sides are standardised by their own statistics and paired by two feature li
 equal length. Identical labelled vectors are merged first. The labelled side becomes a tree:
 a crowded cell is cut around pivots of its own, level by level, until cells hold a bounded
 number of vectors. A query first goes down to the nearest cell, which gives it a bound, and
-then visits only the cells that can hold a vector within that bound. One path serves every
-size: neither side nor the pivots are collected or broadcast, and a task holds one cell and one
-block of queries. Results are exact on any data; how many cells the bound spares depends on
-it, and queries far from all labelled vectors have to visit most of them.
+then visits only the cells that can hold a vector within that bound, by their pivots and by the
+box around their members. The box tells cells apart also for queries far from all labelled
+vectors, to whom all pivots are about equally far. One path serves every size: neither side nor
+the pivots are collected or broadcast, and a task holds one cell and one block of queries.
+Results are exact on any data; how many cells the bound spares depends on it.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ _ROOT = 0
 @dataclass(frozen=True)
 class PivotTree:
     """``levels`` hold the children of crowded cells: parent, node, pivot, least and greatest
-    distance of a member from the pivot (low, high), vectors (n), parts of a leaf (0 for an inner
-    cell). ``leaves`` are the labelled rows with the cell and part they lie in."""
+    distance of a member from the pivot (low, high), the box around the members (least, most),
+    vectors (n), parts of a leaf (0 for an inner cell). ``leaves`` are the labelled rows with the cell and part they lie in."""
 
     levels: list[DataFrame]
     leaves: DataFrame
@@ -82,6 +83,15 @@ def _gaps(q: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
+def _outside(q: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Distances to boxes, 0 inside of them."""
+    out = np.zeros((len(q), len(least)))
+    for d in range(q.shape[1]):
+        at = q[:, d, None]
+        out += np.square(np.fmax(np.fmax(least[None, :, d] - at, at - most[None, :, d]), 0))
+    return np.sqrt(out)
+
+
 def _distinct_points(labelled: DataFrame) -> DataFrame:
     """One row per distinct vector: the smallest id and its label."""
     return labelled.groupBy("v").agg(
@@ -172,7 +182,9 @@ def build_tree(
             )
         )
         cells = placed.groupBy("parent", "node").agg(
-            F.min("away").alias("low"), F.max("away").alias("high"), F.count(F.lit(1)).alias("n")
+            F.min("away").alias("low"), F.max("away").alias("high"), F.count(F.lit(1)).alias("n"),
+            F.array(*[F.min(F.col("v")[i]) for i in range(width)]).alias("least"),
+            F.array(*[F.max(F.col("v")[i]) for i in range(width)]).alias("most"),
         )
         cells = cells.withColumn("parts", parts_of(F.col("n"), level == MAX_LEVELS)).join(
             pivots.select(F.col("child").alias("node"), "pivot"), "node"
@@ -194,23 +206,28 @@ def _visits(queries: DataFrame, tree: PivotTree, block_rows: int, *, bounded: bo
     """Rows (qid, v, node, part) of the leaves to visit: the nearest one on the way down, or
     with ``bounded`` every one that can hold a vector within ``best``, but for ``home``.
 
-    A member x of a cell lies between ``low`` and ``high`` from its pivot and no nearer to the
-    pivot of a sister cell, so |q - x| <= best leaves three tests on the distances of the pivots.
+    A member x of a cell lies between ``low`` and ``high`` from its pivot, no nearer to the pivot of
+    a sister cell and inside the box of the cell, so |q - x| <= best leaves three tests on the
+    distances of the pivots and one on that of the box.
     """
     width = tree.width
 
     def step(rows: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
         cells = cells.sort_values("node", ignore_index=True)
-        gap = _gaps(_matrix(rows["v"], width), _matrix(cells["pivot"], width))
+        q = _matrix(rows["v"], width)
+        box = _outside(q, _matrix(cells["least"], width), _matrix(cells["most"], width))
+        gap = _gaps(q, _matrix(cells["pivot"], width))
         if bounded:
             low, high = cells["low"].to_numpy()[None, :], cells["high"].to_numpy()[None, :]
             reach = rows["best"].to_numpy()[:, None]
             reach = reach + 1e-9 * (1 + reach + gap + high)
             keep = (gap - high <= reach) & (low - gap <= reach)
-            keep &= gap - gap.min(axis=1, keepdims=True) <= 2 * reach
+            keep &= (gap - gap.min(axis=1, keepdims=True) <= 2 * reach) & (box <= reach)
             row, col = np.nonzero(keep)
         else:
-            row, col = np.arange(len(rows)), gap.argmin(axis=1)
+            # the nearest box; of several that hold the query, the one with the nearest pivot
+            near = np.where(box <= box.min(axis=1, keepdims=True), gap, np.inf)
+            row, col = np.arange(len(rows)), near.argmin(axis=1)
         out = rows.iloc[row].drop(columns="_block").reset_index(drop=True)
         out["node"] = cells["node"].to_numpy()[col]
         out["parts"] = cells["parts"].to_numpy()[col]
@@ -223,7 +240,7 @@ def _visits(queries: DataFrame, tree: PivotTree, block_rows: int, *, bounded: bo
     found = [front.withColumn("parts", F.lit(tree.root_parts)).where("parts > 0")]
     for cells in tree.levels:
         children = cells.select(
-            F.col("parent"), F.col("node").alias("child"), "pivot", "low", "high", "parts"
+            F.col("parent"), F.col("node").alias("child"), "pivot", "low", "high", "least", "most", "parts"
         ).withColumnsRenamed({"parent": "node", "child": "node_"})
 
         def at(rows: pd.DataFrame, few: pd.DataFrame) -> pd.DataFrame:

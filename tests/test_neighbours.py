@@ -85,3 +85,19 @@ def test_no_labelled_rows_no_result_and_queries_without_id_get_none(spark):
     out = {r["qid"]: r["nid"] for r in nearest_label(q, p, **options).collect()}
     assert set(out) == {1, 3}
     assert set(out.values()) <= {5, 8}
+
+
+def test_boxes_spare_cells_for_queries_far_from_all_labelled_vectors(spark):
+    """To such queries all pivots are about equally far, whatever the size of the cells."""
+    rng = np.random.default_rng(9)
+    p = np.column_stack([rng.uniform(size=(4_000, 2)), rng.integers(0, 6, size=(4_000, 3)) / 6])
+    q = np.column_stack([rng.uniform(size=(150, 2)), rng.uniform(size=(150, 3)) - [9, -6, 7]])
+    points = spark.createDataFrame(
+        [(list(map(float, v)), i, "l") for i, v in enumerate(p)], "v array<double>, nid long, label string"
+    )
+    queries = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(q)], "qid long, v array<double>")
+    tree = build_tree(points, 5, cell_rows=60, fanout=16, block_rows=2_000)
+    out = search_tree(queries, tree).collect()
+    dist = np.sqrt(((q[:, None, :] - p[None]) ** 2).sum(-1))
+    assert {r["qid"]: r["nid"] for r in out} == dict(enumerate(dist.argmin(1).tolist()))
+    assert np.mean([r["compared"] for r in out]) < 600
