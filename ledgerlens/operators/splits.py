@@ -99,7 +99,7 @@ def split_tables(
     """Each table as (present, stream).
 
     Owners' accounts follow their client. The facts of present accounts are cut by time;
-    all other facts go to the stream half.
+    all other facts go to the stream half. The cut is marked on all accounts, so that facts move once.
     """
     split = entity_split(tables["client"], "client_id", fraction=entity_fraction, seed=seed)
     present_clients = split.filter("present").select("client_id")
@@ -112,17 +112,19 @@ def split_tables(
     )
     ids = {"client": present_clients, "account": present_accounts, "disp": present_disps}
     if "trans" in tables:
-        candidates = tables["trans"].join(present_accounts, "account_id", "left_semi")
+        facts = tables["trans"].columns
         cut = chrono_split(
-            candidates, "account_id", "date", "trans_id", fraction=fact_fraction
+            tables["trans"], "account_id", "date", "trans_id", fraction=fact_fraction
+        )
+        known = present_accounts.withColumn("_known", F.lit(True))
+        cut = cut.join(known, "account_id", "left").select(
+            *facts, (F.col("present") & F.col("_known").isNotNull()).alias("present")
         )
         # Marked once and written: both halves are read from it, and no row is looked up again.
         cut = cut_lineage(cut)
-        rest = tables["trans"].join(present_accounts, "account_id", "left_anti")
-        facts = tables["trans"].columns
         halves = (
             cut.filter("present").select(*facts),
-            cut.filter(~F.col("present")).select(*facts).unionByName(rest),
+            cut.filter(~F.col("present")).select(*facts),
         )
     out = {}
     for name, df in tables.items():
