@@ -67,3 +67,11 @@ def test_medians_of_parts_that_were_not_merged(spark, limit):
     got = S.weighted_medians(values, ["account_id"], {"in": "i", "balance": "b"}, limit=limit, sizes=sizes)
     want = {a: (median(i % (a + 2) for i in range(9)), median(i // 2 for i in range(9))) for a in range(4)}
     assert {r["account_id"]: (r["i"], r["b"]) for r in got.collect()} == want
+
+
+def test_few_values_that_come_very_often_are_not_unfolded(spark):
+    rows = [(1, "in", 5.0, None, 10**12), (1, "in", 5.0, None, 10**12), (1, "in", 7.0, None, 1)]
+    values = spark.createDataFrame(rows, "account_id long, measure string, value double, text string, n long")
+    sizes = spark.createDataFrame([(1, "in", 2 * 10**12 + 1)], "account_id long, measure string, _n long")
+    got = S.weighted_medians(values, ["account_id"], {"in": "i"}, limit=2, sizes=sizes).collect()
+    assert [(r["account_id"], r["i"]) for r in got] == [(1, 5.0)]
