@@ -4,6 +4,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import cleaning as C
 from ledgerlens.plans import targeting as G
 
 
@@ -26,3 +27,11 @@ def test_age_is_worked_out_per_client(spark):
     assert got == {0: 30, 1: 30, 2: None, 3: None, 4: None}
     made = [line for line in plan(out).splitlines() if "make_timestamp" in line]
     assert len(made) == 1 and "trans_id" not in made[0]
+
+
+def test_yymmdd_dates_are_read_without_a_formatter(spark):
+    cases = {"990101": date(1999, 1, 1), " 681231 ": date(2068, 12, 31), "690101": date(1969, 1, 1), "000229": date(2000, 2, 29),
+             "990229": None, "991301": None, "990100": None, "99010": None, "9901011": None, "990101\n": None, "99010x": None, "": None}
+    df = spark.createDataFrame([(t,) for t in cases], "t string").withColumn("d", C.parse_yymmdd(F.col("t")))
+    assert {r["t"]: r["d"] for r in df.collect()} == cases
+    assert "yyyyMMdd" not in plan(df)
