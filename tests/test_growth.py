@@ -1,10 +1,13 @@
 """Steps that every row takes are taken once, and where there are fewest rows."""
 
 from datetime import date
+from statistics import median
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import cleaning as C
+from ledgerlens.operators.profile_groups import profile_groups
 from ledgerlens.plans import targeting as G
 
 
@@ -35,3 +38,22 @@ def test_yymmdd_dates_are_read_without_a_formatter(spark):
     df = spark.createDataFrame([(t,) for t in cases], "t string").withColumn("d", C.parse_yymmdd(F.col("t")))
     assert {r["t"]: r["d"] for r in df.collect()} == cases
     assert "yyyyMMdd" not in plan(df)
+
+
+@pytest.mark.parametrize("limit", [1_000, 5])
+def test_medians_take_one_sort_for_each_group(spark, limit):
+    rows = [(k, float((i * 7) % 5) if i % 3 else None, f"x{i % 2}" if i % 4 else None) for k in (None, 1, 2, 3) for i in range(k or 6)]
+    df = spark.createDataFrame(rows, "k int, v double, t string")
+    got = profile_groups(
+        df, ["k"], [F.count(F.lit(1)).alias("n")], medians={"mid": F.col("v"), "up": F.col("v") + 1},
+        distincts={"kinds": F.col("t")}, limit=limit,
+    )
+    for r in got.collect():
+        mine = [(v, t) for k, v, t in rows if k == r["k"]]
+        known = [v for v, _ in mine if v is not None]
+        want = median(known) if known else None
+        assert (r["n"], r["mid"], r["up"]) == (len(mine), want, None if want is None else want + 1)
+        assert r["kinds"] == len({t for _, t in mine} - {None})
+    assert got.count() == 4
+    if limit > 5:
+        assert "Window" not in plan(got)
