@@ -6,6 +6,7 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
+from checks import queries as Q
 from ledgerlens.functions import cleaning as C
 from ledgerlens.operators.profile_groups import profile_groups
 from ledgerlens.plans import targeting as G
@@ -57,3 +58,17 @@ def test_medians_take_one_sort_for_each_group(spark, limit):
     assert got.count() == 4
     if limit > 5:
         assert "Window" not in plan(got)
+
+
+def test_running_scores_derive_their_rows_once(spark, sf, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        seen.add(1)
+        return text
+
+    rows = Q._scoring_rows(spark, sf)
+    counted = rows.withColumn("trans_id", F.udf(count, "string").asNondeterministic()("trans_id"))
+    monkeypatch.setattr(Q, "_scoring_rows", lambda *_: counted)
+    Q.stream_score_running(spark, sf)
+    assert seen.value == rows.count()
