@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerlens.sources.storage import cut_lineage
 
 SEGMENTS, WIDTH = 4, 16
-CHUNK_CODES = 4096  # codes of one bucket that lie in one row
+CHUNK_CODES = 1024  # codes of one bucket that lie in one row
+HELD_ROWS = 500_000  # verified codes that a worker holds
+PROBE_CELLS = 4_000_000  # pairs of query and segment value that are looked at together
 ID_PARTS = 64  # parts in which the ids of one code are ordered first
 
 
@@ -38,17 +40,17 @@ def _probes(queries: DataFrame, occupied: list[np.ndarray], radius: int) -> Data
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes, bounds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for at in range(len(codes)):
-                for s, values in enumerate(occupied):
-                    own = (int(codes[at]) >> (WIDTH * s)) & ((1 << WIDTH) - 1)
-                    near = values[np.bitwise_count(values ^ np.uint16(own)) == radius]
-                    n = len(near)
+            for s, values in enumerate(occupied):
+                step = max(1, PROBE_CELLS // max(len(values), 1))
+                for at in range(0, len(codes), step):
+                    own = (codes[at : at + step].view(np.uint64) >> np.uint64(WIDTH * s)).astype(np.uint16)
+                    q, near = np.nonzero(np.bitwise_count(own[:, None] ^ values) == radius)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.full(n, codes[at])),
-                            pa.array(np.full(n, bounds[at])),
-                            pa.array(np.full(n, s, np.int32)),
-                            pa.array(near.astype(np.int32)),
+                            pa.array(codes[at + q]),
+                            pa.array(bounds[at + q]),
+                            pa.array(np.full(len(q), s, np.int32)),
+                            pa.array(values[near].astype(np.int32)),
                         ],
                         ["q", "bound", "seg", "value"],
                     )
@@ -56,29 +58,53 @@ def _probes(queries: DataFrame, occupied: list[np.ndarray], radius: int) -> Data
     return queries.select("q", "bound").mapInArrow(work, "q long, bound int, seg int, value int")
 
 
-def _verified(joined: DataFrame, k: int) -> DataFrame:
-    """``q, code, first, held, distance``: true distances of the codes in the buckets met, the best
-    ``k`` of each query and batch, and none beyond the bound of its query."""
+def _least(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The best ``k`` codes of each query among the rows read, a code once. About ``HELD_ROWS`` rows are
+    held at a time; what is held then may be given out before all rows are read."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            entries = batch.column(2)
-            n = np.diff(entries.offsets.to_numpy())
-            flat = entries.flatten()
-            code, first, held = (flat.field(i).to_numpy() for i in range(3))
-            q, bound = (np.repeat(batch.column(i).to_numpy(), n) for i in range(2))
-            d = np.bitwise_count((code ^ q).view(np.uint64)).astype(np.int32)
-            keep = np.flatnonzero(d <= bound)
-            keep = keep[np.lexsort((first[keep], d[keep], q[keep]))]
-            same = np.r_[True, q[keep][1:] != q[keep][:-1]]
-            rank = np.arange(len(keep)) - np.flatnonzero(same)[np.cumsum(same) - 1] if len(keep) else keep
-            # a code may be met in several segments
-            keep = keep[rank < k * SEGMENTS]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[keep]) for x in (q, code, first, held, d)], ["q", "code", "first", "held", "distance"]
-            )
+    def best(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+        q, code, first, held, d = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((code, first, d, q))
+        q, code, first, held, d = (x[order] for x in (q, code, first, held, d))
+        new = np.ones(len(q), bool)  # a code may be met in several segments
+        new[1:] = (q[1:] != q[:-1]) | (code[1:] != code[:-1])
+        q, code, first, held, d = (x[new] for x in (q, code, first, held, d))
+        start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        rank = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
+        return [x[rank < k] for x in (q, code, first, held, d)]
+
+    def out(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["q", "code", "first", "held", "distance"])
+
+    parts, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            parts.append([c.to_numpy() for c in batch.columns])
+            n += batch.num_rows
+        if n >= HELD_ROWS:
+            parts = [best(parts)]
+            n = len(parts[0][0])
+            if n > HELD_ROWS // 2:
+                yield out(parts[0])
+                parts, n = [], 0
+    if parts:
+        yield out(best(parts))
+
+
+def _verified(met: DataFrame, k: int) -> DataFrame:
+    """``q, code, first, held, distance``: of ``q, bound, entries``, true distances of the codes in the
+    buckets met, none beyond the bound of its query, and few more than the best ``k`` of each query.
+
+    Codes beyond the bound are dropped and buckets unfolded before Python sees them, as buckets of
+    thousands of codes in batches of thousands of rows would not fit a worker."""
+
+    def far(code: Column) -> Column:
+        return F.bit_count(code.bitwiseXOR(F.col("q"))).cast("int")
 
-    return joined.select("q", "bound", "entries").mapInArrow(work, "q long, code long, first long, held int, distance int")
+    near = F.filter("entries", lambda e: far(e["code"]) <= F.col("bound"))
+    near = met.select("q", F.inline(near)).withColumn("distance", far(F.col("code")))
+    schema = "q long, code long, first long, held int, distance int"
+    return near.select("q", "code", "first", "held", "distance").mapInArrow(lambda batches: _least(batches, k), schema)
 
 
 def top_k(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", code_col: str = "code") -> DataFrame:
@@ -122,7 +148,8 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id",
     open_ = cut_lineage(asked.select("q").distinct().withColumn("bound", F.lit(64)))
     best = answers = None
     for radius in range(WIDTH + 1):
-        met = _probes(open_, occupied, radius).join(index, ["seg", "value"])
+        # the side whose rows of one key are buffered is that of the probes, which are small
+        met = index.join(_probes(open_, occupied, radius), ["seg", "value"])
         seen = _verified(met, k)
         if best is not None:
             seen = seen.unionByName(best)
