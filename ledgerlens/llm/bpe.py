@@ -18,6 +18,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -30,9 +31,13 @@ WORDS = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-CACHE_PIECES = 400_000  # pieces between single spaces whose ids a worker keeps
-CACHE_WORDS = 300_000  # words whose ids a worker keeps
-CACHE_ARCS = 2_000_000  # arcs a worker keeps in its transition table
+CACHE_PIECES = 250_000  # pieces between single spaces whose ids a worker keeps
+CACHE_WORDS = 100_000  # other words whose ids a worker keeps
+CACHE_ARCS = 500_000  # arcs a worker keeps in its transition table
+CACHE_LETTERS = 64  # a longer word is encoded each time
+CACHE_TEXT = 6_000_000  # letters of all pieces kept
+STEP = 20_000  # pieces of a text looked up together
+BATCH_BYTES = 1_000_000  # of text whose ids are held at once
 _NONE: dict[int, int] = {}
 
 
@@ -75,7 +80,7 @@ class Automaton:
     """States by token, the arcs removed from each, and the table of arcs asked for so far."""
 
     vocabulary: Vocabulary
-    arcs: dict[tuple[int, int], bool] = field(default_factory=dict)
+    arcs: dict[int, bool] = field(default_factory=dict)  # by state and token, in one number
 
     def __post_init__(self) -> None:
         v = self.vocabulary
@@ -101,11 +106,12 @@ class Automaton:
 
     def has_arc(self, state: int, token: int) -> bool:
         """Whether the state reached by one token has an arc labelled with another."""
-        known = self.arcs.get((state, token))
+        arc = state << 32 | token
+        known = self.arcs.get(arc)
         if known is None:
             if len(self.arcs) >= CACHE_ARCS:
                 self.arcs.clear()
-            known = self.arcs[state, token] = self._arc(state, token)
+            known = self.arcs[arc] = self._arc(state, token)
         return known
 
     def _arc(self, state: int, token: int) -> bool:
@@ -163,36 +169,48 @@ class Codec:
         self.auto = Automaton(vocabulary)
         self.labels = vocabulary.labels
         self.pieces: dict[str, bytes] = {}
+        self.letters = 0  # of the pieces
         self.words: dict[str, bytes] = {}
 
-    def _word(self, word: str) -> bytes:
+    def _new(self, word: str) -> bytes:
         """Ids of one word, as little-endian 32-bit integers."""
+        path = self.auto.encode_word(word.encode())
+        return struct.pack(f"<{len(path)}I", *path)
+
+    def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            path = self.auto.encode_word(word.encode())
-            ids = self.words[word] = struct.pack(f"<{len(path)}I", *path)
+            ids = self._new(word)
+            if len(word) <= CACHE_LETTERS:
+                if len(self.words) >= CACHE_WORDS:
+                    self.words.clear()
+                self.words[word] = ids
         return ids
 
     def _ids(self, text: str) -> bytes:
         """Ids of a stretch without special strings."""
         return b"".join(map(self._word, self.auto.words.findall(text)))
 
+    def _once(self, word: str) -> bytes:
+        """Ids of a word that its piece keeps, so that it need not be kept twice."""
+        return self.words.get(word) or self._new(word)
+
     def _learn(self, pieces: list[str]) -> bool:
         """Cache the ids of pieces that follow one space; False if a piece touches white space."""
-        if len(self.pieces) > CACHE_PIECES:
+        if len(self.pieces) > CACHE_PIECES or self.letters > CACHE_TEXT:
             self.pieces.clear()
+            self.letters = 0
         for p in set(pieces).difference(self.pieces):
             if not p or p[0].isspace() or p[-1].isspace():
                 return False
             # letters alone are one word, and so are a full stop or comma after them
             if p.isalpha():
-                self.pieces[p] = self._word(" " + p)
+                self.pieces[p] = self._once(" " + p)
             elif p[-1] in ".," and p[:-1].isalpha():
-                self.pieces[p] = self._word(" " + p[:-1]) + self._word(p[-1])
+                self.pieces[p] = self._once(" " + p[:-1]) + self._word(p[-1])
             else:
                 self.pieces[p] = self._ids(" " + p)
+            self.letters += len(p)
         return True
 
     def _plain(self, text: str) -> bytes:
@@ -200,9 +218,15 @@ class Codec:
         first, *rest = text.split(" ")
         if not rest:
             return self._ids(text)
-        if not first or first[-1].isspace() or not self._learn(rest):
+        if not first or first[-1].isspace():
             return self._ids(text)
-        return self._ids(first) + b"".join(map(self.pieces.__getitem__, rest))
+        out = [self._ids(first)]
+        for at in range(0, len(rest), STEP):
+            part = rest[at : at + STEP]
+            if not self._learn(part):
+                return self._ids(text)
+            out.append(b"".join(map(self.pieces.__getitem__, part)))
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         if not self.auto.special or not self.auto.split_special.search(text):
@@ -255,10 +279,11 @@ def encode_texts(
                 "decoded_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back]),
             }
             if keep:
-                columns["ids"] = pa.array([memoryview(x).cast("i").tolist() if x else [] for x in ids], pa.list_(pa.int32()))
-                columns["decoded"] = pa.array(back)
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+                columns["ids"] = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(ids), "<i4"))
+                columns["decoded"] = pa.array(back, pa.string())
             yield pa.RecordBatch.from_pydict(columns)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_texts(rows, work, schema + (", ids array<int>, decoded string" if keep else ""))
+    return map_texts(rows, work, schema + (", ids array<int>, decoded string" if keep else ""), BATCH_BYTES)

@@ -19,8 +19,9 @@ from ledgerlens.sources.storage import cut_lineage
 MAX_TRAIN = 20_000  # labelled rows the scorer is fitted on, chosen by hash
 MAX_FEATURES = 20_000  # n-grams that may carry a weight
 GRAM = 5
-CACHE = 200_000  # restored tokens a worker keeps
+CACHE = 50_000  # restored tokens a worker keeps
 LONG = 64  # letters of a token that is not kept
+BATCH_BYTES = 1_000_000  # of text whose symbols and n-grams are held at once
 
 # Letters that a character may stand for.
 LEET = {
@@ -83,7 +84,7 @@ def letter_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["gram", "n"])
 
-    rows = map_texts(docs.select(F.col(text_col).alias("text")), work, "gram long, n long")
+    rows = map_texts(docs.select(F.col(text_col).alias("text")), work, "gram long, n long", BATCH_BYTES)
     counts = np.zeros(SYMBOLS**3, np.int64)
     for r in rows.groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["gram"]] = r["n"]
@@ -335,7 +336,7 @@ def fit(
                 gram, n = np.unique(codes, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], ["gram", "n"])
 
-        return map_texts(rows, work, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        return map_texts(rows, work, "gram long, n long", BATCH_BYTES).groupBy("gram").agg(F.sum("n").alias("n"))
 
     in_toxic = cut_lineage(counted(sample.where("y = 1"), None).where("n >= 4"))
     tested = max(in_toxic.count(), 1)
@@ -360,7 +361,7 @@ def fit(
             x = np.array([scorer.evidence(t or "", restorer) for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], ["y", "share", "total"])
 
-    seen = map_texts(sample, summed, "y int, share double, total double").toPandas()
+    seen = map_texts(sample, summed, "y int, share double, total double", BATCH_BYTES).toPandas()
     line = _fit_line(seen[["share", "total"]].to_numpy(), seen["y"].to_numpy().astype(float))
     return Scorer(model, scorer.grams, scorer.weights, line)
 
@@ -401,7 +402,7 @@ def score_toxicity(
         F.col(text_col).alias("text"),
     )
     schema = "doc_id long, held_out boolean, score double, predicted int" + (", restored string" if keep else "")
-    return map_texts(rows, work, schema)
+    return map_texts(rows, work, schema, BATCH_BYTES)
 
 
 def keep_clean(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
@@ -417,4 +418,4 @@ def keep_clean(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataF
             keep = [own.probability(*own.evidence(t or "", restorer)) < 0.5 for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return map_texts(docs, work, docs.schema)
+    return map_texts(docs, work, docs.schema, BATCH_BYTES)
