@@ -6,9 +6,10 @@ a crowded cell is cut around pivots of its own, level by level, until cells hold
 number of vectors. A query first goes down to the nearest cell, which gives it a bound, and
 then visits only the cells that can hold a vector within that bound, by their pivots and by the
 box around their members. The box tells cells apart also for queries far from all labelled
-vectors, to whom all pivots are about equally far. One path serves every size: neither side nor
-the pivots are collected or broadcast, and a task holds one cell and one block of queries.
-Results are exact on any data; how many cells the bound spares depends on it.
+vectors, to whom all pivots are about equally far. Cells are as large as a task can hold, so that
+a query meets few of them; within a cell a tree of small boxes spares most vectors. One path serves
+every size: neither side nor the pivots are collected or broadcast, and a task holds one cell and
+one block of queries. Results are exact on any data; how much the bounds spare depends on it.
 """
 
 from __future__ import annotations
@@ -16,19 +17,24 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.functions.vectors import vector_of
+from ledgerlens.operators.boxes import BoxTree
 from ledgerlens.operators.similarity import fit_scaler, standardize
 from ledgerlens.operators.skew import bounded_broadcast
 from ledgerlens.sources.storage import cut_lineage
 
-CELL_ROWS = 20_000  # labelled vectors of a cell
-BLOCK_ROWS = 20_000  # rows that meet one cell, or the pivots of one cell, in a task
-FANOUT = 64  # pivots of a crowded cell
+CELL_ROWS = 300_000  # labelled vectors of a cell
+BLOCK_ROWS = 20_000  # rows that meet the pivots of one cell in a task
+LEAF_BLOCKS = 10  # times as many meet one cell, as each block of them gets a copy of the cell
+FANOUT = 64  # pivots of a crowded cell at most
 # Cells that so many levels could not thin out (nearly equal vectors) are cut by a hash instead.
 MAX_LEVELS = 9
 _STEP_ELEMENTS = 4_000_000
@@ -51,6 +57,10 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
     return np.array(column.tolist(), dtype=float).reshape(len(column), width)
 
 
+def _flat(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().reshape(-1, width)
+
+
 def _nearest(q: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(position, squared distance) of the nearest point; the first one wins a tie.
 
@@ -105,9 +115,10 @@ def _afresh(df: DataFrame) -> DataFrame:
 
 
 def _meet(
-    many: DataFrame, row_id: str, few: DataFrame, keys: Sequence[str], block_rows: int, work, schema: str
+    many: DataFrame, row_id: str, few: DataFrame, keys: Sequence[str], block_rows: int, work, schema: str,
+    *, arrow: bool = False,
 ) -> DataFrame:
-    """``work(rows of many, rows of few)`` for equal keys.
+    """``work(rows of many, rows of few)`` for equal keys, as pandas frames or Arrow tables.
 
     The rows of ``many`` are dealt over blocks of about ``block_rows``, also where one key holds
     most of them, and the bounded rows of ``few`` are repeated for each block. ``many`` is read
@@ -124,11 +135,8 @@ def _meet(
         "_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     )
     by = [*keys, "_block"]
-    return (
-        left.drop("_blocks").groupBy(*by)
-        .cogroup(_afresh(right.drop("_blocks")).groupBy(*by))
-        .applyInPandas(work, schema)
-    )
+    both = left.drop("_blocks").groupBy(*by).cogroup(_afresh(right.drop("_blocks")).groupBy(*by))
+    return both.applyInArrow(work, schema) if arrow else both.applyInPandas(work, schema)
 
 
 def build_tree(
@@ -137,9 +145,9 @@ def build_tree(
 ) -> PivotTree:
     """Cut ``points`` (v, nid, label; distinct vectors) into cells of at most ``cell_rows``.
 
-    Each crowded cell takes as pivots the members with the least hash in ``fanout`` classes of a
-    hash, which combines before the shuffle, and each member joins its nearest pivot. All crowded
-    cells of a level are cut at once.
+    Each crowded cell takes as pivots the members with the least hash in some classes of a hash, which
+    combines before the shuffle, and each member joins its nearest pivot. There are as many classes
+    as the most crowded cell needs, ``fanout`` at most. All crowded cells of a level are cut at once.
     """
 
     def assign(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
@@ -167,8 +175,9 @@ def build_tree(
     crowded = points.select("v", "nid", "label", F.lit(_ROOT).cast("long").alias("node"))
     if rows <= cell_rows:
         return PivotTree([], crowded.withColumn("part", F.lit(0)), min(rows, 1), width)
+    most = rows
     for level in range(1, MAX_LEVELS + 1):
-        kind = F.pmod(order, F.lit(fanout))
+        kind = F.pmod(order, F.lit(max(2, min(fanout, ceil(2 * most / cell_rows)))))
         pivots = crowded.groupBy("node", kind.alias("kind")).agg(
             F.min_by("v", F.struct(order, F.col("nid"))).alias("pivot")
         )
@@ -196,14 +205,15 @@ def build_tree(
         leaves.append(
             marked.where("parts > 0").select("v", "nid", "label", "node", part.alias("part"))
         )
-        if cells.where("parts = 0").isEmpty():
+        most = cells.where("parts = 0").agg(F.max("n")).first()[0]
+        if most is None:
             break
         crowded = marked.where("parts = 0").select("v", "nid", "label", "node")
     return PivotTree(levels, reduce(DataFrame.unionByName, leaves), 0, width)
 
 
 def _visits(queries: DataFrame, tree: PivotTree, block_rows: int, *, bounded: bool) -> DataFrame:
-    """Rows (qid, v, node, part) of the leaves to visit: the nearest one on the way down, or
+    """Rows (qid, v, node, part, and best if ``bounded``) of the leaves to visit: the nearest one on the way down, or
     with ``bounded`` every one that can hold a vector within ``best``, but for ``home``.
 
     A member x of a cell lies between ``low`` and ``high`` from its pivot, no nearer to the pivot of
@@ -255,31 +265,38 @@ def _visits(queries: DataFrame, tree: PivotTree, block_rows: int, *, bounded: bo
     if bounded:
         visits = visits.where(F.col("node") != F.col("home"))
     part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    return visits.select("qid", "v", "node", part)
+    return visits.select(*keep[:3], "node", part)
 
 
 def search_tree(queries: DataFrame, tree: PivotTree, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Nearest labelled row of each query (qid, v): qid, nid, label, distance and ``compared``,
     the number of labelled vectors it was compared with. Equal distances go to the smaller id."""
     width = tree.width
-
-    def search(rows: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:  # no query was dealt to this block
-            return pd.DataFrame({c: [] for c in ("qid", "node", "nid", "label", "d2", "n")}, dtype=object)
-        cell = cell.sort_values("nid", ignore_index=True)
-        where, dist = _nearest(_matrix(rows["v"], width), _matrix(cell["v"], width))
-        labels = pd.Series(cell["label"].to_numpy(dtype=object, na_value=None), dtype=object)
-        return pd.DataFrame(
+    schema = "qid long, node long, nid long, label string, d2 double, n long"
+
+    def search(rows: pa.Table, cell: pa.Table) -> pa.Table:
+        where = dist = seen = np.empty(0)
+        if rows.num_rows and cell.num_rows:  # else no query was dealt to this block
+            cell = cell.take(np.argsort(cell["nid"].fill_null(np.iinfo(np.int64).max).to_numpy(), kind="stable"))
+            bound = None
+            if "best" in rows.column_names:
+                best = rows["best"].to_numpy()
+                bound = np.square(best + 1e-9 * (1 + best))
+            where, dist, seen = BoxTree(_flat(cell["v"], width)).nearest(_flat(rows["v"], width), bound)
+        met = np.flatnonzero(seen > 0)
+        # -1: the vectors compared lie beyond the bound
+        where, found = where[met], pa.array(where[met] >= 0)
+        at = pa.compute.if_else(found, pa.array(where, pa.int64()), None)
+        return pa.table(
             {
-                "qid": rows["qid"], "node": rows["node"], "nid": cell["nid"].to_numpy()[where],
-                "label": labels.take(where).array, "d2": dist, "n": len(cell),
+                "qid": rows["qid"].take(met), "node": rows["node"].take(met), "nid": cell["nid"].take(at),
+                "label": cell["label"].take(at), "d2": pa.array(dist[met]), "n": pa.array(seen[met], pa.int64()),
             }
         )
 
     def look_up(visits: DataFrame) -> DataFrame:
         return _meet(
-            visits, "qid", tree.leaves, ["node", "part"], block_rows, search,
-            "qid long, node long, nid long, label string, d2 double, n long",
+            visits, "qid", tree.leaves, ["node", "part"], LEAF_BLOCKS * block_rows, search, schema, arrow=True
         )
 
     def best_of(candidates: DataFrame) -> DataFrame:

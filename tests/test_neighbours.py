@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from ledgerlens.operators import neighbours
+from ledgerlens.operators import boxes, neighbours
 from ledgerlens.operators.neighbours import build_tree, nearest_label, search_tree
 
 
@@ -101,3 +101,36 @@ def test_boxes_spare_cells_for_queries_far_from_all_labelled_vectors(spark):
     dist = np.sqrt(((q[:, None, :] - p[None]) ** 2).sum(-1))
     assert {r["qid"]: r["nid"] for r in out} == dict(enumerate(dist.argmin(1).tolist()))
     assert np.mean([r["compared"] for r in out]) < 600
+
+
+def test_a_query_meets_few_vectors_of_a_large_cell(spark):
+    """Cells are as large as a task can hold; within one, boxes spare most vectors."""
+    rng = np.random.default_rng(11)
+    p = np.column_stack([rng.normal(size=(25_000, 2)), rng.integers(0, 5, size=(25_000, 3)) / 5])
+    p[1::50] = p[::50]
+    q = np.column_stack([rng.normal(size=(200, 2)), rng.normal(size=(200, 3)) * 3])
+    q[0], q[1] = p[50], p[77]
+    points = spark.createDataFrame([(list(map(float, v)), i, "l") for i, v in enumerate(p)], "v array<double>, nid long, label string")
+    queries = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(q)], "qid long, v array<double>")
+    tree = build_tree(points, 5)
+    assert tree.leaves.select("node", "part").distinct().count() == 1
+    out = search_tree(queries, tree).collect()
+    dist = np.sqrt(((q[:, None, :] - p[None]) ** 2).sum(-1))
+    assert {r["qid"]: r["nid"] for r in out} == dict(enumerate(dist.argmin(1).tolist()))
+    assert np.mean([r["compared"] for r in out]) < 1_000
+
+
+@pytest.mark.parametrize("n", [1, 2, 31, 33, 700])
+def test_box_tree_equals_all_pairs(n):
+    rng = np.random.default_rng(n)
+    p = rng.integers(0, 4, size=(n, 3)).astype(float)  # many equal distances
+    q = np.concatenate([rng.integers(0, 4, size=(40, 3)), rng.normal(size=(40, 3)) * 50])
+    all_ = np.square(q[:, None, :] - p[None]).sum(-1)
+    tree = boxes.BoxTree(p)
+    where, dist, seen = tree.nearest(q)
+    assert (where == all_.argmin(1)).all() and (dist == all_.min(1)).all() and (seen > 0).all()
+    # with a bound: what lies within it is found, and nothing is made up beyond it
+    bound = all_.min(1) * np.where(np.arange(len(q)) % 2, 1.0, 0.25)
+    again, dist, _ = tree.nearest(q, bound)
+    within = all_.min(1) <= bound
+    assert (again[within] == where[within]).all() and (dist[again >= 0] == all_.min(1)[again >= 0]).all()
